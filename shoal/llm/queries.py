@@ -5,11 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shoal.llm import bpe
+from shoal.llm import bpe, sharding, simhash
 from shoal.runtime import table
 
 
+def op1_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -20,6 +30,8 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minimax_shards": op1_minimax_shards,
+        "op4_simhash_groups": op4_simhash_groups,
         "op5_token_counts": op5_token_counts,
         "op8_bpe_roundtrip": op8_bpe_roundtrip,
     }
