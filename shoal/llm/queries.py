@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.llm import bpe, sharding, simhash
+from shoal.llm import bpe, decontam, sharding, simhash
 from shoal.runtime import table
 
 
@@ -28,12 +28,17 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minimax_shards": op1_minimax_shards,
         "op4_simhash_groups": op4_simhash_groups,
         "op5_token_counts": op5_token_counts,
         "op8_bpe_roundtrip": op8_bpe_roundtrip,
+        "op9_benchmark_leaks": op9_benchmark_leaks,
     }
 
 
