@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoal.llm.texts import normal
 from shoal.runtime import ship
 
 #: Window, edit budget and q-gram length in bytes of the normal form.
@@ -33,14 +34,9 @@ WINDOW, EDITS, Q = 72, 5, 10
 SLICE_BYTES = 32 << 20
 #: Bytes of document text scanned at once; bits of the first, inexact filter.
 SCAN_BYTES, FILTER_BITS = 1 << 22, 23
-FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def normal(text: str | None) -> bytes:
-    return b" ".join((text or "").lower().encode().translate(FOLD).split())
-
-
 def grams(codes: np.ndarray, q: int) -> np.ndarray:
     """A 64-bit hash of the q bytes from each place on."""
     if len(codes) < q:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.llm import bpe, decontam, sharding, simhash
+from shoal.llm import bpe, decontam, langid, sharding, simhash, toxicity
+from shoal.llm.texts import held_out
 from shoal.runtime import table
 
 
@@ -24,6 +25,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "mixture")
+
+
 def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(table(spark, sf_dir, "documents"))
 
@@ -32,13 +39,21 @@ def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minimax_shards": op1_minimax_shards,
         "op4_simhash_groups": op4_simhash_groups,
         "op5_token_counts": op5_token_counts,
+        "op6_language_mixture": op6_language_mixture,
         "op8_bpe_roundtrip": op8_bpe_roundtrip,
         "op9_benchmark_leaks": op9_benchmark_leaks,
+        "op10_toxicity": op10_toxicity,
     }
 
 
