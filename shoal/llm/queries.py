@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.llm import bpe, decontam, langid, sharding, simhash, toxicity
+from shoal.llm import bpe, decontam, langid, mih, sharding, simhash, toxicity
 from shoal.llm.texts import held_out
 from shoal.runtime import table
 
@@ -16,6 +16,10 @@ def op1_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op2_mih_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.nearest_neighbours(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -28,7 +32,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs))
-    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "mixture")
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", F.size("mixture").alias("n_languages"))
 
 
 def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minimax_shards": op1_minimax_shards,
+        "op2_mih_neighbours": op2_mih_neighbours,
         "op4_simhash_groups": op4_simhash_groups,
         "op5_token_counts": op5_token_counts,
         "op6_language_mixture": op6_language_mixture,
