@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.llm import bpe, decontam, langid, mih, sharding, simhash, toxicity
+from shoal.llm import bpe, decontam, langid, license, mih, secrets, sharding, simhash, toxicity
 from shoal.llm.texts import held_out
 from shoal.runtime import table
 
@@ -20,6 +20,10 @@ def op2_mih_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mih.nearest_neighbours(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op3_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -35,6 +39,11 @@ def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", F.size("mixture").alias("n_languages"))
 
 
+def op7_secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word", "at", "finding", "probability")
+
+
 def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(table(spark, sf_dir, "documents"))
 
@@ -53,9 +62,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minimax_shards": op1_minimax_shards,
         "op2_mih_neighbours": op2_mih_neighbours,
+        "op3_license_notices": op3_license_notices,
         "op4_simhash_groups": op4_simhash_groups,
         "op5_token_counts": op5_token_counts,
         "op6_language_mixture": op6_language_mixture,
+        "op7_secret_findings": op7_secret_findings,
         "op8_bpe_roundtrip": op8_bpe_roundtrip,
         "op9_benchmark_leaks": op9_benchmark_leaks,
         "op10_toxicity": op10_toxicity,
@@ -63,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_license_notices": license.scan_sql()}
