@@ -41,8 +41,17 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows in an Arrow batch: whole texts can be long, and a worker holds a batch at a time.
+BATCH_ROWS = "1000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, for clusters where it is not installed."""
+    """Send this package to the executors once per application, for clusters where it is not installed.
+
+    Arrow batches are made smaller too, unless the session sets their size itself.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     sc = spark.sparkContext
     if getattr(sc, "_shoal_shipped", False) or sc.master.startswith("local["):
         return
