@@ -74,13 +74,18 @@ def scan(docs: DataFrame, least: float = LEAST_DICE, id_col: str = "doc_id", tex
     templates = template_bigrams()
     bounds = {name: size_bounds(n, least) for name, (_, n) in templates.items()}
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    # normal form of the whole text, line ends kept; as the text itself where it has more than one line, as line -1
-    lines = F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9\\n]+", " "), "\n")
-    numbered = F.transform(lines, lambda s, i: F.struct(i.alias("line"), F.trim(s).alias("part")))
-    whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line"), F.trim(F.regexp_replace(F.array_join(lines, " "), " +", " ")).alias("part"))))
-    parts = rows.select("id", F.inline(numbered)).unionByName(rows.filter(F.instr("text", "\n") > 0).select("id", F.inline(whole)))
+    # normal form of the whole text, line ends kept; the text itself, where it has more than one line, as line -1
+    normal = once(rows, F.regexp_replace(F.lower("text"), "[^a-z0-9\\n]+", " "), "t").select("id", "t")
+    most = max(hi for _, hi in bounds.values())
+    many = lambda x: F.length("t") - F.length(F.replace("t", F.lit(x), F.lit("")))
+    # each line end takes up to two blanks beside it; the others stand between words, so a text over the size bound shows without being joined
+    small = (many("\n") > 0) & (many(" ") - 2 * many("\n") - 2 <= most)
+    joined = F.trim(F.regexp_replace(F.replace("t", F.lit("\n"), F.lit(" ")), " +", " "))
+    whole = F.when(small, F.array(F.struct(F.lit(-1).alias("line"), joined.alias("part")))).otherwise(F.array())
+    numbered = F.transform(F.split("t", "\n"), lambda s, i: F.struct(i.alias("line"), F.trim(s).alias("part")))
+    parts = normal.select("id", F.inline(F.concat(numbered, whole)))
     n = F.length("part") - F.length(F.replace("part", F.lit(" "), F.lit("")))
-    fitting = parts.filter(n.between(min(lo for lo, _ in bounds.values()), max(hi for _, hi in bounds.values())))
+    fitting = parts.filter(n.between(min(lo for lo, _ in bounds.values()), most))
     worded = once(fitting.select("id", "line", n.alias("n"), "part"), F.split("part", " "), "w")
     pairs = F.zip_with(F.slice("w", 1, F.col("n")), F.slice("w", 2, F.col("n")), lambda a, b: F.concat(a, F.lit(" "), b))
     paired = once(worded.select("id", "line", "n", "w"), pairs, "b")
