@@ -34,8 +34,8 @@ def scored(points: DataFrame, queries: DataFrame, d: int, metric: str, within: f
 def knn(points: DataFrame, queries: DataFrame, d: int, k: int, metric: str = "euclidean", bound: float | None = None) -> DataFrame:
     """(qid, rank, point_id, dist): up to ``k`` nearest per query, nearer than ``bound``; ties to the smaller id."""
     order = Window.partitionBy("qid").orderBy("dist", "point_id")
-    ranked = scored(points, queries, d, metric, bound).withColumn("rank", F.row_number().over(order).cast("long"))
-    return ranked.filter(F.col("rank") <= k).select("qid", "rank", "point_id", "dist")
+    ranked = scored(points, queries, d, metric, bound).withColumn("r", F.row_number().over(order))
+    return ranked.filter(F.col("r") <= k).select("qid", F.col("r").cast("long").alias("rank"), "point_id", "dist")
 
 
 def nearest(points: DataFrame, queries: DataFrame, d: int, metric: str = "euclidean") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.operators import assign, kernel, sampling
+from shoal.operators import assign, kernel, sampling, stats
 from shoal.operators.points import validate
 from shoal.plans.config import ClusterConfig, kept_points
 from shoal.runtime import durable, ship
@@ -84,13 +85,11 @@ def fit(points: DataFrame, config: ClusterConfig, limit: int = LOCAL_LIMIT) -> C
     return ClusterModel(config, model.clusters, model.predict(points).select("point_id", "label"))
 
 
-def standardized_fit(points: DataFrame, config: ClusterConfig, limit: int = LOCAL_LIMIT) -> ClusterModel:
-    """``fit`` on z-scores, with centres and representatives turned back into the units of the input."""
-    from shoal.operators import stats
-
+def standardized_fit(points: DataFrame, config: ClusterConfig, fitted_by: Callable[[DataFrame, ClusterConfig], ClusterModel] = fit) -> ClusterModel:
+    """A fit on z-scores, with centres and representatives turned back into the units of the input."""
     _, d = validate(points, config.k)
     model = durable(stats.moments(points, d), "moments")
-    fitted = fit(stats.standardize(points, d), config, limit)
+    fitted = fitted_by(stats.standardize(points, d), config)
     back = lambda v: F.zip_with(F.zip_with(v, F.col("sigma"), lambda x, s: x * s), F.col("mu"), lambda x, m: x + m)
     clusters = fitted.clusters.crossJoin(F.broadcast(model)).select("cluster_id", "n_points", back(F.col("mean")).alias("mean"), F.transform("reps", back).alias("reps"))  # one row
     return ClusterModel(config, clusters, fitted.labels)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shoal.operators import kernel, sampling
 from shoal.operators.points import validate
-from shoal.plans.base import ClusterModel, fit, run_kernel
+from shoal.plans.base import LOCAL_LIMIT, ClusterModel, fit, run_kernel
 from shoal.plans.config import ClusterConfig, ScalableConfig
 from shoal.runtime import durable, ship
 
@@ -96,11 +98,14 @@ def fit_scalable(points: DataFrame, config: ScalableConfig) -> ClusterModel:
     return ClusterModel(config, clusters, model.predict(points).select("point_id", "label"))
 
 
-def fit_auto(points: DataFrame, k: int, c: int = 5, alpha: float = 0.3, scalable: bool = False, limit: int = 5000) -> ClusterModel:
-    """The base form up to ``limit`` points, the scalable one beyond or on demand."""
-    n = points.count()
-    if scalable or n > limit:
-        return fit_scalable(points, ScalableConfig(k=k, c=c, alpha=alpha))
-    return fit(points, ClusterConfig(k=k, c=c, alpha=alpha), limit)
+def fit_any(points: DataFrame, config: ClusterConfig, limit: int = LOCAL_LIMIT, scalable: bool = False) -> ClusterModel:
+    """The base form up to ``limit`` points, the scalable one with the same parameters beyond or on demand."""
+    if scalable or points.count() > limit:
+        own = {f.name: getattr(config, f.name) for f in fields(ClusterConfig)}
+        return fit_scalable(points, config if isinstance(config, ScalableConfig) else ScalableConfig(**own))
+    return fit(points, config, limit)
 
 
+def fit_auto(points: DataFrame, k: int, c: int = 5, alpha: float = 0.3, scalable: bool = False, limit: int = LOCAL_LIMIT) -> ClusterModel:
+    """``fit_any`` by Euclidean distance with the usual parameters."""
+    return fit_any(points, ClusterConfig(k=k, c=c, alpha=alpha), limit, scalable)
