@@ -20,6 +20,7 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,6 +32,8 @@ from shoal.runtime import ship
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A worker remembers at most this many chunks of at most this many characters.
 MEMORY_ENTRIES, MEMORY_CHARS = 300_000, 64
+#: Bytes of token ids that leave a worker at once.
+OUTPUT_BYTES = 4 << 20
 
 
 def vocabulary_path(name: str) -> str:
@@ -309,8 +312,15 @@ def encode_texts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = merge_automaton(vocabulary)
         for batch in batches:
-            made = [list(memoryview(automaton.encode(t.as_py())).cast("I")) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int32()))], names=["id", "ids"])
+            first, made, size = 0, [], 0
+            for k, t in enumerate(batch.column(1), start=1):
+                made.append(automaton.encode(t.as_py()))
+                size += len(made[-1])
+                if size >= OUTPUT_BYTES or k == batch.num_rows:
+                    offsets = np.cumsum([0, *(len(m) // 4 for m in made)]).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), "<i4")))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, k - first), ids], names=["id", "ids"])
+                    first, made, size = k, [], 0
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
