@@ -6,7 +6,7 @@ starts a new pre-token, so a chunk can be handled alone and remembered), then by
 the vocabulary's pre-split pattern.
 
 Defined results: a null text counts as empty; an empty text has no tokens; a very
-long text or word costs O(n log n) (heap) or O(n) trie walks (automaton) and no
+long text or word costs O(n log n) (heap) or O(n) label lookups (automaton) and no
 more memory than itself; ties between equal ranks go to the leftmost pair;
 repeated rows and null ids yield one output row each; an empty table yields an empty
 result; columns other than the two named ones are never read.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,8 +31,12 @@ from shoal.runtime import ship
 
 #: Fixed value: the pre-split pattern of byte-level vocabularies of this family.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A worker remembers at most this many chunks of at most this many characters.
-MEMORY_ENTRIES, MEMORY_CHARS = 300_000, 64
+#: A worker remembers at most so many chunks and so many words, twice each, of at most so many characters.
+MEMORY_CHUNKS, MEMORY_WORDS, MEMORY_CHARS = 250_000, 300_000, 64
+#: Bytes by which labels are looked up.
+HEAD = 4
+#: Marks that form a pre-token of their own after letters.
+MARKS = frozenset(",.;:!?")
 #: Bytes of token ids that leave a worker at once.
 OUTPUT_BYTES = 4 << 20
 
@@ -75,6 +80,15 @@ class Vocabulary:
         self.byte_id = [self.ids[bytes([b])] for b in range(256)]
         self.pattern = regex.compile(PRE_SPLIT)
 
+    def words(self, chunk: str) -> list[str]:
+        """The pre-tokens of a chunk; letters alone, or with one mark at the end, are plain to see without the pattern."""
+        body = chunk[1:] if chunk[0] == " " else chunk
+        if body.isalpha():
+            return [chunk]
+        if body[-1:] in MARKS and body[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.pattern.findall(chunk)
+
     def plain_parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """The text in order, cut at special strings: (part, is it special)."""
         if self.special_re is None or not any(s in text for s in self.special):
@@ -90,9 +104,6 @@ def chunks(text: str) -> list[str]:
     """Cut before every blank that stands between two visible characters: no pre-token crosses such a place."""
     words = text.split(" ")
     out = [words[0]]
-    if "" not in words and not any(w[0].isspace() or w[-1].isspace() for w in words):
-        out += [" " + w for w in words[1:]]
-        return out
     for w in words[1:]:
         if w and not w[0].isspace() and out[-1] and not out[-1][-1].isspace():
             out.append(" " + w)
@@ -102,16 +113,21 @@ def chunks(text: str) -> list[str]:
 
 
 class Remembered(dict):
-    """A bounded memory of what ``make`` gave for a chunk."""
+    """A bounded memory of what ``make`` gave for a chunk, in two generations: what is used again outlives a renewal."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
         self.make = make
+        self.most = most
+        self.older: dict = {}
 
     def __missing__(self, chunk: str):
-        value = self.make(chunk)
+        value = self.older.get(chunk)
+        if value is None:
+            value = self.make(chunk)
         if len(chunk) <= MEMORY_CHARS:
-            if len(self) >= MEMORY_ENTRIES:
+            if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = value
         return value
@@ -123,8 +139,8 @@ class HeapCounter:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.rule = {(a << 20) | b: (rank, ab) for rank, (a, b, ab) in enumerate(vocabulary.merges)}
-        self.words = Remembered(self.count_word)
-        self.memory = Remembered(self.count_chunk)
+        self.words = Remembered(self.count_word, MEMORY_WORDS)
+        self.memory = Remembered(self.count_chunk, MEMORY_CHUNKS)
 
     def count_word(self, word: str) -> int:
         rule = self.rule
@@ -154,7 +170,7 @@ class HeapCounter:
         return n - merged
 
     def count_chunk(self, chunk: str) -> int:
-        return sum(map(self.words.__getitem__, self.v.pattern.findall(chunk)))
+        return sum(map(self.words.__getitem__, self.v.words(chunk)))
 
     def count(self, text: str | None) -> int:
         total = 0
@@ -189,21 +205,16 @@ class MergeAutomaton:
             self.target[a] = len(self.parent) - 1
             self.target[ab] = after_b
             self.left[ab], self.made[ab] = a, k
-        self.trie: list[dict[int, int]] = [{}]
-        self.accept: list[int] = [-1]
-        for token, i in vocabulary.ids.items():
-            at = 0
-            for byte in token:
-                step = self.trie[at].get(byte)
-                if step is None:
-                    step = self.trie[at][byte] = len(self.trie)
-                    self.trie.append({})
-                    self.accept.append(-1)
-                at = step
-            self.accept[at] = i
+        #: For each beginning of HEAD bytes, the lengths of the labels that have it, longest first; then the shorter lengths.
+        lengths: dict[bytes, set[int]] = {}
+        for label in vocabulary.ids:
+            if len(label) >= HEAD:
+                lengths.setdefault(label[:HEAD], set()).add(len(label))
+        self.short = tuple(range(HEAD - 1, 0, -1))
+        self.lengths = {head: (*sorted(found, reverse=True), *self.short) for head, found in lengths.items()}
         self.known: dict[int, bool] = {}
-        self.words = Remembered(self.encode_word)
-        self.memory = Remembered(self.encode_chunk)
+        self.words = Remembered(self.encode_word, MEMORY_WORDS)
+        self.memory = Remembered(self.encode_chunk, MEMORY_CHUNKS)
 
     def has_arc(self, state: int, label: int) -> bool:
         parent, lacks, born, left, made = self.parent, self.lacks, self.born, self.left, self.made
@@ -216,48 +227,46 @@ class MergeAutomaton:
                 state = parent[state]
         return True
 
-    def arcs(self, word: bytes, at: int) -> list[tuple[int, int]]:
-        """The labels that match ``word`` from ``at`` on, shortest first, each with the place where it ends."""
-        trie, accept, node, out = self.trie, self.accept, 0, []
-        for j in range(at, len(word)):
-            node = trie[node].get(word[j])
-            if node is None:
-                break
-            if accept[node] >= 0:
-                out.append((accept[node], j + 1))
-        return out
+    def step(self, state: int, label: int) -> bool:
+        """The transition table, filled in as it is used."""
+        key = (state << 20) | label
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) >= MEMORY_WORDS:
+                self.known.clear()
+            found = self.known[key] = self.has_arc(state, label)
+        return found
 
     def encode_word(self, text: str) -> bytes:
-        """Follow arcs, longest label first; each place has one accepted path, so a place that failed is never tried again."""
+        """Follow arcs, longest label first; each place has one accepted path, so a place once reached is never tried again."""
         word = text.encode()
-        n, known = len(word), self.known
+        label, lengths, short, target, step = self.v.ids.get, self.lengths.get, self.short, self.target, self.step
+        n, at, state = len(word), 0, 0
         path: list[int] = []
-        waiting = [self.arcs(word, 0)]
+        starts: list[int] = []
         tried = bytearray(n + 1)
+        end = n + 1  # only labels that end before this place are still to be tried
         while True:
-            here = waiting[-1]
-            if not here:
-                waiting.pop()
+            for length in lengths(word[at : at + HEAD], short):
+                stop = at + length
+                if stop < end and not tried[stop]:
+                    token = label(word[at:stop])
+                    if token is not None and step(state, token):
+                        break
+            else:
                 path.pop()
+                end, at = at, starts.pop()
+                state = target[path[-1]] if path else 0
                 continue
-            token, end = here.pop()
-            if tried[end]:
-                continue
-            state = self.target[path[-1]] if path else 0
-            key = (state << 20) | token
-            if (found := known.get(key)) is None:
-                if len(known) >= MEMORY_ENTRIES:
-                    known.clear()
-                found = known[key] = self.has_arc(state, token)
-            if found:
-                tried[end] = 1
-                path.append(token)
-                if end == n:
-                    return b"".join(i.to_bytes(4, "little") for i in path)
-                waiting.append(self.arcs(word, end))
+            path.append(token)
+            if stop == n:
+                return struct.pack(f"<{len(path)}I", *path)
+            tried[stop] = 1
+            starts.append(at)
+            at, state, end = stop, target[token], n + 1
 
     def encode_chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.v.pattern.findall(chunk)))
+        return b"".join(map(self.words.__getitem__, self.v.words(chunk)))
 
     def encode(self, text: str | None) -> bytes:
         """The token ids as little-endian unsigned 32-bit integers."""
