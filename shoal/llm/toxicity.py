@@ -151,14 +151,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter(~held_out("id") & F.col("label").isNotNull())
     known = known.groupBy("id").agg(F.max("label").cast("int").alias("label")).orderBy(F.xxhash64("id", F.lit(10)), "id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chosen = rows.join(F.broadcast(known), "id").select("label", "text").limit(sample)  # at most ``sample`` narrow rows are broadcast
+    chosen = rows.join(F.broadcast(known), "id").select("label", "text")  # at most ``sample`` narrow rows are broadcast
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = pa.array([cells(t.as_py()).astype("<i4").tobytes() for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), got], names=["label", "cells"])
 
-    got = chosen.repartition(12).mapInArrow(words, "label int, cells binary").collect()
+    got = chosen.mapInArrow(words, "label int, cells binary").limit(sample).collect()
     got.sort(key=lambda r: (r["label"], bytes(r["cells"])))  # the same order whatever task came first
     return fit_rows([np.frombuffer(r["cells"], "<i4") for r in got], np.array([float(r["label"] > 0) for r in got]))
 
