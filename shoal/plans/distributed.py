@@ -100,6 +100,7 @@ REDUCED_SCHEMA = "cluster_id int, n_points long, mean array<double>, reps array<
 
 def reduce_in_one_task(partials: DataFrame, config: ClusterConfig) -> DataFrame:
     """The reduce step; it meets a summary per partial cluster, never points."""
+    ship(partials.sparkSession)
     rows = partials.select(F.lit(0).alias("one"), "part", "partial_id", "n_points", "mean", "reps")
     return rows.groupBy("one").applyInPandas(lambda f: reduce_partials(f.drop(columns="one"), config), REDUCED_SCHEMA)
 

@@ -73,6 +73,7 @@ FINAL_SCHEMA = "cluster_id int, n_points long, mean array<double>, reps array<ar
 
 def merge_partials(partials: DataFrame, config: ClusterConfig) -> DataFrame:
     """``second_pass`` in one task; its input is bounded by the sample, not by the points."""
+    ship(partials.sparkSession)
     return partials.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda f: second_pass(f.drop(columns="one"), config), FINAL_SCHEMA)
 
 

@@ -40,7 +40,17 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/shoal/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shoal_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``durable`` wrote and that nothing reads any more."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.shoal_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows in an Arrow batch: whole texts can be long, and a worker holds a batch at a time.
@@ -60,14 +70,14 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, for clusters where it is not installed.
+    """Send this package to the workers once per application; they may run where it is not installed.
 
     Arrow batches are made smaller too, unless the session sets their size itself.
     """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     sc = spark.sparkContext
-    if getattr(sc, "_shoal_shipped", False) or sc.master.startswith("local["):
+    if getattr(sc, "_shoal_shipped", False):
         return
     root = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="shoal-code-")
