@@ -35,9 +35,11 @@ LETTERS = np.array([chr(c).isalpha() for c in range(0x10000)])
 
 
 def trigram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Cells and counts of the trigrams of ``text``: letters in lower case, all else a blank, no trigram of blanks around one letter's gap."""
+    """Cells and counts of the trigrams of ``text``: letters in lower case, all else a blank; of trigrams around a blank only those between two letters."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    letter = np.where(codes < 0x10000, LETTERS[np.minimum(codes, 0xFFFF)], True)
+    letter = LETTERS[np.minimum(codes, 0xFFFF)]
+    if (high := codes >= 0x10000).any():
+        letter[high] = [chr(c).isalpha() for c in codes[high]]
     if not letter.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
     codes = np.concatenate([[32], np.where(letter, codes, 32), [32]]).astype(np.uint64)

@@ -188,10 +188,10 @@ def find_secrets(docs: DataFrame, model: PipelineModel | None = None, least: flo
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found secret replaced by ``mark``; texts without one are as they were."""
     # equal texts have equal findings, so the set of a key is bounded by one text
-    by_text = findings.groupBy("text_hash").agg(F.sort_array(F.collect_set("finding"), asc=False).alias("found_secrets"))
-    size = by_text.agg(F.sum(F.size("found_secrets") * 80 + 60)).first()[0] or 0
+    by_text = findings.groupBy(F.col("text_hash").alias("shoal_key")).agg(F.collect_set("finding").alias("shoal_found"))
+    size = by_text.agg(F.sum(F.size("shoal_found") * 80 + 60)).first()[0] or 0
     right = F.broadcast(by_text) if size <= BROADCAST_BYTES else by_text
-    joined = docs.withColumn("text_hash", F.xxhash64(text_col)).join(right, "text_hash", "left")
-    longest_first = F.array_sort("found_secrets", lambda a, b: F.length(b) - F.length(a))
+    joined = docs.withColumn("shoal_key", F.xxhash64(text_col)).join(right, "shoal_key", "left")
+    longest_first = F.array_sort("shoal_found", lambda a, b: F.length(b) - F.length(a))
     cleaned = F.aggregate(longest_first, F.col(text_col), lambda t, s: F.replace(t, s, F.lit(mark)))
     return joined.select(*[F.coalesce(cleaned, F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in docs.columns])

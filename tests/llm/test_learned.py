@@ -38,7 +38,8 @@ def test_mixtures_are_selected():
     lang, score, mixture = model.predict(one[:600] + " " + two[:300])
     assert lang == "a" and [m[0] for m in mixture] == ["a", "b"] and score == pytest.approx(2 / 3, abs=0.08)
     assert model.predict("123 !!")[:2] == ("und", 0.0) and model.predict(None)[:2] == ("und", 0.0)
-    assert model.predict("ж" * 5)[0] in ("a", "b")
+    assert model.predict("🙂🙂 ⁉")[:2] == ("und", 0.0)
+    assert model.predict("ж" * 5)[0] in ("a", "b") and model.predict("𐐷𐐷")[0] in ("a", "b")
 
 
 def test_languages_of_strange_rows(spark, strange):
