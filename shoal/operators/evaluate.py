@@ -23,9 +23,9 @@ def adjusted_rand(labels: DataFrame, a: str, b: str) -> DataFrame:
     right = cells.groupBy(b).agg(F.sum("n").alias("n")).agg(F.sum(pairs_of(F.col("n"))).alias("right"))
     one = both.crossJoin(left).crossJoin(right)  # one row each
     all_pairs = pairs_of(F.col("n"))
-    expected = F.col("left") * F.col("right") / all_pairs
+    expected = F.try_divide(F.col("left") * F.col("right"), all_pairs)
     top = (F.col("left") + F.col("right")) / 2.0
-    ari = F.when(F.col("n").isNull(), 0.0).when(all_pairs == 0, 1.0).when(F.abs(top - expected) < 1e-15, 1.0).otherwise((F.col("both") - expected) / (top - expected))
+    ari = F.when(F.col("n").isNull(), 0.0).when(all_pairs == 0, 1.0).when(F.abs(top - expected) < 1e-15, 1.0).otherwise(F.try_divide(F.col("both") - expected, top - expected))
     return one.select(ari.alias("ari"))
 
 
@@ -43,7 +43,7 @@ def normalized_mutual_information(labels: DataFrame, a: str, b: str) -> DataFram
     entropy = lambda t, n, name: t.crossJoin(F.broadcast(whole)).agg((-F.sum(F.col(n) / F.col("whole") * F.log(F.col(n) / F.col("whole")))).alias(name))
     one = mi.crossJoin(entropy(rows, "na", "ha")).crossJoin(entropy(cols, "nb", "hb"))
     top = (F.col("ha") + F.col("hb")) / 2.0
-    return one.select(F.when(top < 1e-15, 1.0).otherwise(F.col("mi") / top).alias("nmi"))
+    return one.select(F.when(top < 1e-15, 1.0).otherwise(F.try_divide(F.col("mi"), top)).alias("nmi"))
 
 
 def cells_of(labels: DataFrame, truth: str, label: str) -> np.ndarray:
@@ -106,10 +106,10 @@ def silhouette_pearson(points: DataFrame, d: int, label: str) -> DataFrame:
     scored = both.select("point_id", "l", "z", far.alias("far")).select(
         "point_id",
         own["n"].alias("n"),
-        ((own["s"] - self_dist) / (own["n"] - 1)).alias("a"),
+        F.try_divide(own["s"] - self_dist, own["n"] - 1).alias("a"),
         F.array_min(F.transform(F.filter("far", lambda m: m["l"] != F.col("l")), lambda m: m["s"] / m["n"])).alias("b"),
     )
-    return scored.select("point_id", F.when(F.col("n") <= 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
+    return scored.select("point_id", F.when(F.col("n") <= 1, 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))).alias("s"))
 
 
 #: Points of a stratified sample that a quadratic silhouette compares.
@@ -157,7 +157,7 @@ def davies_bouldin(points: DataFrame, d: int, label: str, metric: str = "pearson
     s, _ = scatter(points, d, label, metric)
     a = s.select(F.col("l").alias("i"), F.col("center").alias("ci"), F.col("sigma").alias("si"))
     b = s.select(F.col("l").alias("j"), F.col("center").alias("cj"), F.col("sigma").alias("sj"))
-    worst = a.join(F.broadcast(b), F.col("i") != F.col("j")).groupBy("i").agg(F.max((F.col("si") + F.col("sj")) / vec.distance("ci", "cj", metric)).alias("r"))
+    worst = a.join(F.broadcast(b), F.col("i") != F.col("j")).groupBy("i").agg(F.max(F.try_divide(F.col("si") + F.col("sj"), vec.distance("ci", "cj", metric))).alias("r"))
     return worst.agg(F.avg("r").alias("db"))
 
 
@@ -168,7 +168,7 @@ def calinski_harabasz(points: DataFrame, d: int, label: str, metric: str = "eucl
     both = s.crossJoin(F.broadcast(middle))  # one row
     g = vec.distance("center", "m", metric)
     one = both.agg(F.sum(F.col("n") * g * g).alias("between"), F.sum("w").alias("within"), F.sum("n").alias("n"), F.count("*").alias("k"))
-    return one.select(((F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))).alias("ch"))
+    return one.select(F.try_divide(F.try_divide("between", F.col("k") - 1), F.try_divide("within", F.col("n") - F.col("k"))).alias("ch"))
 
 
 def size_difference(labels: DataFrame, a: str, b: str) -> DataFrame:
@@ -181,6 +181,6 @@ def size_difference(labels: DataFrame, a: str, b: str) -> DataFrame:
 def metric_correlations(runs: DataFrame, names: list[str], tau: str = "tau", flag: str = "sc", cut: float = 0.2) -> DataFrame:
     """One row: correlation of each validity metric with tau, and sensitivity and specificity of flag < cut for tau >= 0.9."""
     bad, called = F.col(tau) >= 0.9, F.col(flag) < cut
-    rate = lambda hit, of: F.sum(F.when(hit, 1.0).otherwise(0.0)) / F.sum(F.when(of, 1.0).otherwise(0.0))
+    rate = lambda hit, of: F.try_divide(F.sum(F.when(hit, 1.0).otherwise(0.0)), F.sum(F.when(of, 1.0).otherwise(0.0)))
     return runs.agg(*[F.corr(n, tau).alias(f"corr_{n}") for n in names], rate(bad & called, bad).alias("sensitivity"), rate(~bad & ~called, ~bad).alias("specificity"))
 

@@ -59,14 +59,14 @@ def feature_stats(df: DataFrame, names: list[str]) -> DataFrame:
     m = long_form(df.agg(*aggs), names)
     var = F.col("m2") - F.col("m1") * F.col("m1")
     third = F.col("m3") - 3 * F.col("m1") * F.col("m2") + 2 * F.col("m1") * F.col("m1") * F.col("m1")
-    return m.select("feature", F.col("m1").alias("mean"), F.sqrt(var).alias("std"), (third / F.pow(var, F.lit(1.5))).alias("skew"), F.col("lo").alias("min"), F.col("hi").alias("max"), "n")
+    return m.select("feature", F.col("m1").alias("mean"), F.sqrt(var).alias("std"), F.try_divide(third, F.pow(var, F.lit(1.5))).alias("skew"), F.col("lo").alias("min"), F.col("hi").alias("max"), "n")
 
 
 def range_shares(df: DataFrame, names: list[str]) -> DataFrame:
     """(feature, share, dominant): the share of each feature's squared range; dominant above 0.99."""
     m = long_form(df.agg(*[(F.max(n) - F.min(n)).alias(f"{n}__r") for n in names]), names)
     whole = df.agg(*[(F.max(n) - F.min(n)).alias(n) for n in names]).select(sum((F.col(n) * F.col(n) for n in names[1:]), F.col(names[0]) * F.col(names[0])).alias("whole"))
-    share = F.col("r") * F.col("r") / F.col("whole")
+    share = F.try_divide(F.col("r") * F.col("r"), F.col("whole"))
     return m.crossJoin(F.broadcast(whole)).select("feature", share.alias("share"), (share > 0.99).alias("dominant"))  # one row
 
 
@@ -75,5 +75,5 @@ def variance_shares(df: DataFrame, names: list[str]) -> DataFrame:
     one = df.agg(*[F.var_pop(n).alias(f"v_{n}") for n in names], *[F.var_pop(F.log1p(n)).alias(f"l_{n}") for n in names])
     v = sum((F.col(f"v_{n}") for n in names[1:]), F.col(f"v_{names[0]}"))
     w = sum((F.col(f"l_{n}") for n in names[1:]), F.col(f"l_{names[0]}"))
-    rows = [F.struct(F.lit(n).alias("feature"), (F.col(f"v_{n}") / v).alias("raw_share"), (F.col(f"l_{n}") / w).alias("log_share")) for n in names]
+    rows = [F.struct(F.lit(n).alias("feature"), F.try_divide(F.col(f"v_{n}"), v).alias("raw_share"), F.try_divide(F.col(f"l_{n}"), w).alias("log_share")) for n in names]
     return one.select(F.inline(F.array(*rows)))
