@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.runtime import durable
+from shoal.runtime import durable, release
 
 #: Rounds after which a graph that still changes is reported as an error; chains shrink by half or better each round.
 MOST_ROUNDS = 60
@@ -28,14 +28,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     pairs = durable(pairs, "edges")
     before = None
     for _ in range(MOST_ROUNDS):
+        # minima are written before they are joined: then both sides of a join are dealt for it alone, and
+        # adaptive execution can split the edges of a node that has very many
         # every neighbour v > u of u, and u itself, to the smallest neighbour of u
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = durable(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct(), "large")
         # every smaller neighbour of u, and u itself, to the smallest of them
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(small_least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = durable(hung.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        small = durable(large.groupBy("u").agg(F.min("v").alias("m")), "small")
+        hung = large.join(small, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars = durable(hung.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        release(pairs, least, large, small)
+        pairs = stars
         now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm.graph import connected_components
-from shoal.runtime import durable, ship
+from shoal.runtime import arrow_rows, durable, ship
 
-#: Fingerprints in a tile; elements of one block of the comparison.
-TILE, BLOCK = 8192, 1 << 18
+#: Fingerprints in a tile; elements of one block of the comparison; pairs of tiles that a worker is handed at once.
+TILE, BLOCK, TILE_PAIRS = 8192, 1 << 18, 16
 #: For each byte value, its eight bits, lowest first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 SEEDS = (42, 43)
@@ -159,7 +159,8 @@ def spanning_links(distinct: DataFrame, radius: int = 3, first_radius: int | Non
                     yield pa.RecordBatch.from_arrays([pa.array(keys[child]), pa.array(keys[parent])], names=["a", "b"])
 
     ready = paired.select(*cols, ((F.col("lpop") == F.col("rpop")) & (F.col("lsub") == F.col("rsub"))).alias("same"))
-    return ready.mapInArrow(compare, "a long, b long")
+    with arrow_rows(spark, TILE_PAIRS):
+        return durable(ready.mapInArrow(compare, "a long, b long"), "links")
 
 
 def near_duplicate_groups(
@@ -185,5 +186,5 @@ def near_duplicate_groups(
     roots = connected_components(spanning_links(classes.select("k", *names), radius, first_radius))
     linked = classes.select("k", "least").join(roots.withColumnRenamed("node", "k"), "k")
     component = linked.select("k", "root").join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("k", "component")
-    resolved = classes.join(component, "k", "left").select(*names, F.coalesce("component", "least").alias("component_id"))
+    resolved = durable(classes.join(component, "k", "left").select(*names, F.coalesce("component", "least").alias("component_id")), "resolved")
     return marked.join(resolved, names).select(F.col("id").alias(id_col), *names, "component_id")
