@@ -19,6 +19,7 @@ import heapq
 import json
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +33,7 @@ from shoal.runtime import ship
 #: Fixed value: the pre-split pattern of byte-level vocabularies of this family.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A worker remembers at most so many chunks and so many words, twice each, of at most so many characters.
-MEMORY_CHUNKS, MEMORY_WORDS, MEMORY_CHARS = 250_000, 300_000, 64
+MEMORY_CHUNKS, MEMORY_WORDS, MEMORY_CHARS = 120_000, 180_000, 64
 #: Bytes by which labels are looked up.
 HEAD = 4
 #: Marks that form a pre-token of their own after letters.
@@ -132,6 +133,10 @@ class Remembered(dict):
             self[chunk] = value
         return value
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
 
 class HeapCounter:
     """Counts tokens: symbols in a linked list, adjacent pairs in a heap, lowest rank popped first."""
@@ -172,6 +177,11 @@ class HeapCounter:
     def count_chunk(self, chunk: str) -> int:
         return sum(map(self.words.__getitem__, self.v.words(chunk)))
 
+    def forget(self) -> None:
+        """Drop what was remembered; a worker that waits for its next task should hold the vocabulary only."""
+        self.words.forget()
+        self.memory.forget()
+
     def count(self, text: str | None) -> int:
         total = 0
         for part, special in self.v.plain_parts(text or ""):
@@ -268,6 +278,12 @@ class MergeAutomaton:
     def encode_chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.v.words(chunk)))
 
+    def forget(self) -> None:
+        """Drop what was remembered; a worker that waits for its next task should hold the vocabulary only."""
+        self.words.forget()
+        self.memory.forget()
+        self.known.clear()
+
     def encode(self, text: str | None) -> bytes:
         """The token ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
@@ -293,6 +309,15 @@ def merge_automaton(vocabulary: str) -> MergeAutomaton:
     return MergeAutomaton(Vocabulary(vocabulary_path(vocabulary)))
 
 
+@contextmanager
+def remembering(coder: HeapCounter | MergeAutomaton) -> Iterator[HeapCounter | MergeAutomaton]:
+    """A coder for one task."""
+    try:
+        yield coder
+    finally:
+        coder.forget()
+
+
 def count_tokens(
     docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 1024, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -300,11 +325,10 @@ def count_tokens(
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = heap_counter(vocabulary)
-        for batch in batches:
-            texts = batch.column(2)
-            n = pa.array([counter.count(t.as_py()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], names=["id", "n_bytes", "n_tokens"])
+        with remembering(heap_counter(vocabulary)) as counter:
+            for batch in batches:
+                n = pa.array([counter.count(t.as_py()) for t in batch.column(2)], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], names=["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(
@@ -319,17 +343,17 @@ def encode_texts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col:
     ship(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = merge_automaton(vocabulary)
-        for batch in batches:
-            first, made, size = 0, [], 0
-            for k, t in enumerate(batch.column(1), start=1):
-                made.append(automaton.encode(t.as_py()))
-                size += len(made[-1])
-                if size >= OUTPUT_BYTES or k == batch.num_rows:
-                    offsets = np.cumsum([0, *(len(m) // 4 for m in made)]).astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), "<i4")))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, k - first), ids], names=["id", "ids"])
-                    first, made, size = k, [], 0
+        with remembering(merge_automaton(vocabulary)) as automaton:
+            for batch in batches:
+                first, made, size = 0, [], 0
+                for k, t in enumerate(batch.column(1), start=1):
+                    made.append(automaton.encode(t.as_py()))
+                    size += len(made[-1])
+                    if size >= OUTPUT_BYTES or k == batch.num_rows:
+                        offsets = np.cumsum([0, *(len(m) // 4 for m in made)]).astype(np.int32)
+                        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), "<i4")))
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, k - first), ids], names=["id", "ids"])
+                        first, made, size = k, [], 0
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -356,18 +380,18 @@ def roundtrip_digests(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id
     ship(docs.sparkSession)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = merge_automaton(vocabulary)
-        for batch in batches:
-            n, ids_hex, text_hex = [], [], []
-            for t in batch.column(1):
-                ids = automaton.encode(t.as_py())
-                n.append(len(ids) // 4)
-                ids_hex.append(hashlib.sha256(ids).hexdigest())
-                text_hex.append(hashlib.sha256(automaton.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex), pa.array(text_hex)],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        with remembering(merge_automaton(vocabulary)) as automaton:
+            for batch in batches:
+                n, ids_hex, text_hex = [], [], []
+                for t in batch.column(1):
+                    ids = automaton.encode(t.as_py())
+                    n.append(len(ids) // 4)
+                    ids_hex.append(hashlib.sha256(ids).hexdigest())
+                    text_hex.append(hashlib.sha256(automaton.decode(ids).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex), pa.array(text_hex)],
+                    names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
