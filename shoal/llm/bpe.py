@@ -32,8 +32,11 @@ from shoal.runtime import ship
 
 #: Fixed value: the pre-split pattern of byte-level vocabularies of this family.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A worker remembers at most so many chunks and so many words, twice each, of at most so many characters.
-MEMORY_CHUNKS, MEMORY_WORDS, MEMORY_CHARS = 120_000, 180_000, 64
+#: A task remembers at most so many chunks and so many words, twice each, of at most so many characters;
+#: less where the token ids themselves leave a worker.
+LARGE_MEMORY, SMALL_MEMORY, MEMORY_CHARS = (250_000, 300_000), (120_000, 180_000), 64
+#: Transitions that are kept once they were looked up.
+KNOWN_ARCS = 300_000
 #: Bytes by which labels are looked up.
 HEAD = 4
 #: Marks that form a pre-token of their own after letters.
@@ -141,11 +144,11 @@ class Remembered(dict):
 class HeapCounter:
     """Counts tokens: symbols in a linked list, adjacent pairs in a heap, lowest rank popped first."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, memory: tuple[int, int] = LARGE_MEMORY):
         self.v = vocabulary
         self.rule = {(a << 20) | b: (rank, ab) for rank, (a, b, ab) in enumerate(vocabulary.merges)}
-        self.words = Remembered(self.count_word, MEMORY_WORDS)
-        self.memory = Remembered(self.count_chunk, MEMORY_CHUNKS)
+        self.words = Remembered(self.count_word, memory[1])
+        self.memory = Remembered(self.count_chunk, memory[0])
 
     def count_word(self, word: str) -> int:
         rule = self.rule
@@ -201,7 +204,7 @@ class MergeAutomaton:
     ``left``, ``made`` by label.
     """
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, memory: tuple[int, int] = LARGE_MEMORY):
         self.v = vocabulary
         size = max(vocabulary.labels) + 1
         self.target = [0] * size
@@ -223,8 +226,8 @@ class MergeAutomaton:
         self.short = tuple(range(HEAD - 1, 0, -1))
         self.lengths = {head: (*sorted(found, reverse=True), *self.short) for head, found in lengths.items()}
         self.known: dict[int, bool] = {}
-        self.words = Remembered(self.encode_word, MEMORY_WORDS)
-        self.memory = Remembered(self.encode_chunk, MEMORY_CHUNKS)
+        self.words = Remembered(self.encode_word, memory[1])
+        self.memory = Remembered(self.encode_chunk, memory[0])
 
     def has_arc(self, state: int, label: int) -> bool:
         parent, lacks, born, left, made = self.parent, self.lacks, self.born, self.left, self.made
@@ -242,7 +245,7 @@ class MergeAutomaton:
         key = (state << 20) | label
         found = self.known.get(key)
         if found is None:
-            if len(self.known) >= MEMORY_WORDS:
+            if len(self.known) >= KNOWN_ARCS:
                 self.known.clear()
             found = self.known[key] = self.has_arc(state, label)
         return found
@@ -305,8 +308,8 @@ def heap_counter(vocabulary: str) -> HeapCounter:
 
 
 @lru_cache(maxsize=4)
-def merge_automaton(vocabulary: str) -> MergeAutomaton:
-    return MergeAutomaton(Vocabulary(vocabulary_path(vocabulary)))
+def merge_automaton(vocabulary: str, memory: tuple[int, int] = LARGE_MEMORY) -> MergeAutomaton:
+    return MergeAutomaton(Vocabulary(vocabulary_path(vocabulary)), memory)
 
 
 @contextmanager
@@ -343,7 +346,7 @@ def encode_texts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col:
     ship(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with remembering(merge_automaton(vocabulary)) as automaton:
+        with remembering(merge_automaton(vocabulary, SMALL_MEMORY)) as automaton:
             for batch in batches:
                 first, made, size = 0, [], 0
                 for k, t in enumerate(batch.column(1), start=1):
