@@ -16,8 +16,10 @@ from shoal.runtime import durable, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose largest language holds less than this is no text of any language.
 LEAST_LANGUAGE_SHARE = 0.34
-#: Two documents of five-word shingles are near copies within so many of 128 bits, and so many of the first 64.
-COPY_BITS, COPY_FIRST_BITS = 24, 16
+#: Least Jaccard similarity of the five-word shingles of two near copies.
+LEAST_COPY_SIMILARITY = 0.8
+#: Pairs are held against it whose fingerprints lie within so many of 128 bits, and so many of the first 64.
+COPY_BITS, COPY_FIRST_BITS = 34, 20
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of every group of near copies; of repeated rows, one."""
     rows = keyed(docs)
-    groups = simhash.near_duplicate_groups(rows, shingle=5, radius=COPY_BITS, words=2, first_radius=COPY_FIRST_BITS, id_col="key")
+    groups = simhash.verified_groups(rows, shingle=5, least=LEAST_COPY_SIMILARITY, radius=COPY_BITS, first_radius=COPY_FIRST_BITS, id_col="key")
     kept = groups.filter(F.col("key") == F.col("component_id")).groupBy("key").agg(F.count("*").alias("copies"))
     kept = durable(kept, "kept")
     stays = rows.join(kept, "key")

@@ -6,6 +6,10 @@ paired; every other pair of tiles is compared whole by exclusive-or and bit coun
 A pair of tiles emits a spanning forest of its links, never the links themselves,
 so a group of any size costs a row per member.
 
+``verified_groups`` takes such links for candidates only. Those of the forest are held
+against the shingle sets of the two texts; then the tiles are compared once more, and
+of the links between texts that are not joined yet every one is held against them.
+
 Defined results: a null or empty text, or one of blanks only, has no words and
 the fingerprint zero, which links like any other; texts with fewer words than a
 shingle are one shingle; very long texts are read whole; equal texts share one
@@ -16,7 +20,7 @@ empty table gives an empty result; columns other than the two named are not read
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,26 +29,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm.graph import connected_components
-from shoal.runtime import arrow_rows, durable, ship
+from shoal.runtime import arrow_rows, durable, release, ship
 
 #: Fingerprints in a tile; elements of one block of the comparison; pairs of tiles that a worker is handed at once.
 TILE, BLOCK, TILE_PAIRS = 8192, 1 << 18, 16
 #: For each byte value, its eight bits, lowest first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 SEEDS = (42, 43)
+#: Words of a parity sketch: bit x is set if an odd number of the shingle hashes is x modulo its bits.
+SKETCH = 4
+#: Pairs of shingle sets that a worker is handed at once: a set of a long text is large.
+SET_PAIRS = 64
 
 
-def fingerprint(text: str | None, shingle: int = 3, seeds: tuple[int, ...] = (42,)) -> list[int]:
-    """A signed 64-bit word per seed: a bit is set if over half of all shingle hashes have it."""
+def shingles(text: str | None, shingle: int = 3) -> list[bytes]:
+    """Every run of ``shingle`` words, in order; of fewer words, the one run there is."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and exactly \x20 \x09-\x0D
     if not words:
-        return [0] * len(seeds)
+        return []
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = (ends - [len(w) for w in words]).tolist()
     ends = ends.tolist()
     k = min(shingle, len(words))
-    pieces = [joined[i:j] for i, j in zip(starts, ends[k - 1 :], strict=False)]
+    return [joined[i:j] for i, j in zip(starts, ends[k - 1 :], strict=False)]
+
+
+def shingle_set(text: str | None, shingle: int = 3) -> np.ndarray:
+    """The distinct shingles of ``text`` as sorted 64-bit hashes."""
+    return np.array(sorted({xxhash.xxh64_intdigest(p, SEEDS[0]) for p in shingles(text, shingle)}), dtype="<u8")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of common members of two sorted sets; of two empty ones 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / union if (union := len(a) + len(b) - both) else 1.0
+
+
+def sketch(members: np.ndarray) -> np.ndarray:
+    """The parity sketch of a shingle set: two sketches differ in no more bits than their sets in members."""
+    odd = np.bincount((members % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def can_be_similar(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
+    """False where sizes and sketches alone rule out a Jaccard similarity of ``least``; never where the sets have it."""
+    apart = np.maximum(np.bitwise_count((p ^ q).view(np.uint64)).sum(axis=1, dtype=np.int64), np.abs(n - m))
+    return apart * (1 + least) <= (1 - least) * (n + m) + 1e-6
+
+
+def fingerprint(text: str | None, shingle: int = 3, seeds: tuple[int, ...] = (42,)) -> list[int]:
+    """A signed 64-bit word per seed: a bit is set if over half of all shingle hashes have it."""
+    pieces = shingles(text, shingle)
+    if not pieces:
+        return [0] * len(seeds)
     out = []
     for seed in seeds:
         digest = xxhash.xxh64_intdigest
@@ -83,16 +121,14 @@ def merge_labels(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray
             labels = jumped
 
 
-def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int, first_radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (child, parent) of a spanning forest of the links between two tiles (within one if right is None).
+def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int, first_radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i, j) of the links between two tiles (within one if right is None, then i < j), in blocks.
 
     Tiles are (n, words). The words are compared one after another: a pair that is over
     ``first_radius`` in the first word is dropped, the rest is held against ``radius`` over all words.
     """
     n = len(left)
-    nodes = left if right is None else np.concatenate([left, right])
-    other, shift = (left, 0) if right is None else (right, n)
-    labels = np.arange(len(nodes))
+    other = left if right is None else right
     step = max(1, BLOCK // max(1, len(other)))
     for at in range(0, n, step):
         block = left[at : at + step]
@@ -106,15 +142,35 @@ def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int, first_r
         if left.shape[1] > 1:
             close = np.bitwise_count(block[i] ^ other[j]).sum(axis=1) <= radius
             i, j = i[close], j[close]
-        labels = merge_labels(labels, i + at, j + shift)
-    child = np.flatnonzero(labels != np.arange(len(nodes)))
+        yield i + at, j
+
+
+def forest(n: int, links: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (child, parent) of a spanning forest of ``links`` between ``n`` nodes."""
+    labels = np.arange(n)
+    for i, j in links:
+        labels = merge_labels(labels, i, j)
+    child = np.flatnonzero(labels != np.arange(n))
     return child, labels[child]
 
 
-def spanning_links(distinct: DataFrame, radius: int = 3, first_radius: int | None = None) -> DataFrame:
-    """(a, b): row numbers ``k`` of ``distinct(k, f0[, f1])`` whose links connect all that lie within ``radius`` bits."""
+def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int, first_radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (child, parent) of a spanning forest of the links between two tiles (within one if right is None)."""
+    shift = 0 if right is None else len(left)
+    links = ((i, j + shift) for i, j in tile_links(left, right, radius, first_radius))
+    return forest(len(left) + (0 if right is None else len(right)), links)
+
+
+def spanning_links(distinct: DataFrame, radius: int = 3, first_radius: int | None = None, apart: str | None = None, least: float | None = None) -> DataFrame:
+    """(a, b): row numbers ``k`` of ``distinct(k, f0[, f1])`` whose links connect all that lie within ``radius`` bits.
+
+    With ``apart``, the name of a long column, these are not the links of a spanning forest
+    but all links between rows that differ in that column. With ``least``, links count only where
+    the sizes ``n`` and sketches ``p0``.. allow that similarity.
+    """
     spark = distinct.sparkSession
     names = [c for c in distinct.columns if c.startswith("f")]
+    extra = (["n", *[f"p{i}" for i in range(SKETCH)]] if least is not None else []) + ([apart] if apart else [])
     first_radius = radius if first_radius is None else first_radius
     placed = distinct.withColumn("pop", F.bit_count("f0"))
     sizes = {r["pop"]: max(1, -(-r["n"] // TILE)) for r in placed.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
@@ -122,8 +178,8 @@ def spanning_links(distinct: DataFrame, radius: int = 3, first_radius: int | Non
     tiles = (
         placed.withColumn("sub", F.pmod(F.xxhash64(*names), subs[F.col("pop")]).cast("int"))
         .groupBy("pop", "sub")
-        .agg(F.collect_list(F.struct("k", *names)).alias("rows"))
-        .select("pop", "sub", F.col("rows.k").alias("k"), *[F.col(f"rows.{f}").alias(f) for f in names])
+        .agg(F.collect_list(F.struct("k", *names, *extra)).alias("rows"))
+        .select("pop", "sub", *[F.col(f"rows.{c}").alias(c) for c in ("k", *names, *extra)])
     )
     tiles = durable(tiles, "tiles")
     partners = spark.createDataFrame(
@@ -134,12 +190,12 @@ def spanning_links(distinct: DataFrame, radius: int = 3, first_radius: int | Non
     left = (
         tiles.join(F.broadcast(partners), "pop")  # a row per tile and tile pair: its size is known above
         .filter("rpop > pop or rsub >= sub")
-        .select(F.col("pop").alias("lpop"), F.col("sub").alias("lsub"), *[F.col(c).alias(f"l{c}") for c in ("k", *names)], "rpop", "rsub")
+        .select(F.col("pop").alias("lpop"), F.col("sub").alias("lsub"), *[F.col(c).alias(f"l{c}") for c in ("k", *names, *extra)], "rpop", "rsub")
         .repartition(parts, "rpop", "rsub")
     )
-    right = tiles.select(F.col("pop").alias("rpop"), F.col("sub").alias("rsub"), *[F.col(c).alias(f"r{c}") for c in ("k", *names)])
+    right = tiles.select(F.col("pop").alias("rpop"), F.col("sub").alias("rsub"), *[F.col(c).alias(f"r{c}") for c in ("k", *names, *extra)])
     paired = left.join(right.repartition(parts, "rpop", "rsub"), ["rpop", "rsub"])
-    cols = ["lk", *[f"l{f}" for f in names], "rk", *[f"r{f}" for f in names]]
+    cols = [f"{side}{c}" for side in "lr" for c in ("k", *names, *extra)]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def numbers(column, at):
@@ -147,14 +203,34 @@ def spanning_links(distinct: DataFrame, radius: int = 3, first_radius: int | Non
 
         for batch in batches:
             for at in range(batch.num_rows):
-                w = len(names)
+                w, e = len(names), len(extra)
                 lk = numbers(batch.column(0), at)
                 lf = np.stack([numbers(batch.column(1 + i), at) for i in range(w)], axis=1).view(np.uint64)
-                rk = numbers(batch.column(1 + w), at)
-                rf = np.stack([numbers(batch.column(2 + w + i), at) for i in range(w)], axis=1).view(np.uint64)
-                same = batch.column(2 + 2 * w)[at].as_py()
-                child, parent = tile_forest(lf, None if same else rf, radius, first_radius)
+                rk = numbers(batch.column(1 + w + e), at)
+                rf = np.stack([numbers(batch.column(2 + w + e + i), at) for i in range(w)], axis=1).view(np.uint64)
+                same = batch.column(2 + 2 * (w + e))[at].as_py()
+                lx = [numbers(batch.column(1 + w + i), at) for i in range(e)]
+                rx = [numbers(batch.column(2 + 2 * w + e + i), at) for i in range(e)]
+                lp, rp = (np.stack(x[1 : 1 + SKETCH], axis=1) if least is not None else None for x in (lx, rx))
+                shift = 0 if same or apart else len(lk)
+
+                def links():
+                    for i, j in tile_links(lf, None if same else rf, radius, first_radius):
+                        if apart:
+                            differ = lx[-1][i] != rx[-1][j]
+                            i, j = i[differ], j[differ]
+                        if least is not None:
+                            fits = can_be_similar(lx[0][i], rx[0][j], lp[i], rp[j], least)
+                            i, j = i[fits], j[fits]
+                        yield i, j + shift
+
+                if apart:
+                    for i, j in links():
+                        if len(i):
+                            yield pa.RecordBatch.from_arrays([pa.array(lk[i]), pa.array(rk[j])], names=["a", "b"])
+                    continue
                 keys = lk if same else np.concatenate([lk, rk])
+                child, parent = forest(len(keys), links())
                 if len(child):
                     yield pa.RecordBatch.from_arrays([pa.array(keys[child]), pa.array(keys[parent])], names=["a", "b"])
 
@@ -188,3 +264,75 @@ def near_duplicate_groups(
     component = linked.select("k", "root").join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("k", "component")
     resolved = durable(classes.join(component, "k", "left").select(*names, F.coalesce("component", "least").alias("component_id")), "resolved")
     return marked.join(resolved, names).select(F.col("id").alias(id_col), *names, "component_id")
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose texts in ``texts(k, text)`` have shingle sets of a Jaccard similarity of ``least`` or more."""
+    spark = texts.sparkSession
+    ends = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+    wanted = texts.join(ends, "k", "left_semi").dropDuplicates(["k"])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), got], names=["k", "s"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [[np.frombuffer(x.as_py(), "<u8") for x in batch.column(c)] for c in (2, 3)]
+            keep = pa.array([jaccard(a, b) >= least for a, b in zip(*sets, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    sets = durable(wanted.select("k", "text").mapInArrow(make, "k long, s binary"), "sets")
+    left, right = (sets.select(F.col("k").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    ready = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    with arrow_rows(spark, SET_PAIRS):
+        out = durable(ready.mapInArrow(compare, "a long, b long"), "similar")
+    release(sets)
+    return out
+
+
+def verified_groups(
+    docs: DataFrame,
+    shingle: int,
+    least: float,
+    radius: int,
+    words: int = 2,
+    first_radius: int | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """(id, component_id): the smallest id that is reached by links of a Jaccard similarity of ``least`` or more.
+
+    Only pairs within ``radius`` bits of each other (and ``first_radius`` in the first word) are
+    held against each other, but each of these is, or lies in one component already.
+    """
+    ship(docs.sparkSession)
+    names = [f"f{i}" for i in range(words)]
+    texts = docs.select(F.xxhash64(text_col).alias("k"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    held = ["n", *[f"p{i}" for i in range(SKETCH)]]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            for t in batch.column(2):
+                members = shingle_set(t.as_py(), shingle)
+                got.append([*fingerprint(t.as_py(), shingle, SEEDS[:words]), len(members), *sketch(members).tolist()])
+            got = np.array(got, dtype=np.int64).reshape(-1, words + len(held))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[:, i]) for i in range(got.shape[1]))], names=["k", "id", *names, *held])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    marked = durable(texts.mapInArrow(make, f"k long, id {kind}, " + ", ".join(f"{x} long" for x in (*names, *held))), "fingerprints")
+    classes = durable(marked.groupBy("k").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in (*names, *held)]), "classes")
+    candidates = spanning_links(classes.select("k", *names, *held), radius, first_radius, least=least)
+    sure = similar_pairs(candidates, texts, shingle, least)
+    known = connected_components(sure).withColumnRenamed("node", "k")
+    settled = durable(classes.join(known, "k", "left").select("k", *names, *held, F.coalesce("root", "k").alias("g")), "settled")
+    rest = spanning_links(settled, radius, first_radius, apart="g", least=least)
+    found = similar_pairs(rest, texts, shingle, least)
+    release(candidates, rest, settled)
+    roots = connected_components(sure.unionByName(found)).withColumnRenamed("node", "k")
+    linked = classes.select("k", "least").join(roots, "k")
+    component = linked.select("k", "root").join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("k", "component")
+    resolved = durable(classes.join(component, "k", "left").select("k", F.coalesce("component", "least").alias("component_id")), "resolved")
+    return marked.join(resolved, "k").select(F.col("id").alias(id_col), "component_id")

@@ -62,3 +62,17 @@ def test_registered_queries_run(spark, name):
     documents = spark.read.parquet(f"{SF}/documents.parquet").count()
     if name.split("_")[0] in ("op1", "op4", "op5", "op6", "op8", "op10"):
         assert n == documents
+
+
+def test_near_copies_are_those_of_similarity(spark):
+    rng = random.Random(12)
+    rows = []
+    for changes in (4, 5) * 8:  # of 200 shingles each change takes five: similarity 0.818 and 0.778
+        base = [f"w{rng.randrange(5000)}" for _ in range(204)]
+        other = list(base)
+        for c in range(changes):
+            other[10 + c * 20] = f"new{rng.randrange(10**6)}"
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, SF).collect()}
+    assert kept == {i for i in range(32) if i % 4 != 1}

@@ -107,3 +107,50 @@ def test_strange_rows(spark, strange):
     assert {r["component_id"] for r in got if r["doc_id"] in (4, 5)} == {4}
     assert [r["component_id"] for r in got if r["doc_id"] == 6] == [6, 6]
     assert simhash.near_duplicate_groups(strange.limit(0)).count() == 0
+
+
+def test_verified_groups_are_those_of_jaccard(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(16):
+        base = [f"w{rng.randrange(5000)}" for _ in range(204)]
+        for changes in (4, 5, 9):  # 200 shingles, five of them lost a change: Jaccard 0.818, 0.778, 0.633 to the first
+            other = list(base)
+            for c in range(changes):
+                other[10 + c * 20] = f"new{rng.randrange(10**6)}"
+            texts += [" ".join(base), " ".join(other)]
+            base = [f"w{rng.randrange(5000)}" for _ in range(204)]
+    texts += ["Solo word", "solo  word", None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.verified_groups(docs, 5, 0.8, 34, first_radius=20).collect()}
+    sets = [{*simhash.shingles(t, 5)} for t in texts]
+    alike = lambda i: sets[i] == sets[i - 1] or len(sets[i] & sets[i - 1]) / len(sets[i] | sets[i - 1]) >= 0.8
+    assert got == {i: i - 1 if i % 2 and alike(i) else i for i in range(len(texts))}
+    assert sum(map(alike, range(1, 96, 2))) == 16
+
+
+def test_links_that_the_forest_leaves_out_are_verified(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(204)]
+    rows = []
+    for i in range(12):  # a star of texts that are alike in pairs only, whose candidate links form one component
+        own = list(base)
+        for c in range(6):
+            own[5 + c * 30 + 2 * (i // 2)] = f"own{i // 2}x{c}"
+        own[200 if i % 2 else 0] = f"last{i}"
+        rows.append((i, " ".join(own)))
+    got = simhash.verified_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8, 64, first_radius=64)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: i - i % 2 for i in range(12)}
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 4, 30, 300, 3000):
+        for common in {n, -(-n * 8 // 9), n * 9 // 10}:
+            both, a, b = (rng.integers(0, 1 << 63, size, dtype=np.uint64) for size in (common, n - common, n - common))
+            a, b = np.sort(np.append(both, a)), np.sort(np.append(both, b))
+            sizes = (np.array([len(a)]), np.array([len(b)]))
+            sketches = (simhash.sketch(a)[None, :], simhash.sketch(b)[None, :])
+            assert simhash.can_be_similar(*sizes, *sketches, 0.8)[0] or simhash.jaccard(a, b) < 0.8
+    far = [np.sort(rng.integers(0, 1 << 63, 100, dtype=np.uint64)) for _ in range(2)]
+    assert not simhash.can_be_similar(np.array([100]), np.array([100]), *(simhash.sketch(x)[None, :] for x in far), 0.8)[0]
