@@ -59,15 +59,56 @@ def test_held_out_toxicity(spark):
     assert (called & true).sum() / true.sum() >= 0.85 and (called & ~true).sum() <= 0.01 * (~true).sum()
 
 
-def test_swapped_identity_terms_change_little():
+def fitted(spark, toxic, neutral):
+    """A model of the texts, with ids that are not held out."""
+    ids = (i for i in range(10**6) if not held(i))
+    rows = [(next(ids), x, label) for label, xs in ((1, toxic), (0, neutral)) for x in xs]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+
+
+def test_swapped_identity_terms_change_little(spark):
     rng = random.Random(0)
     neutral = [f"the {rng.choice('red blue tall small'.split())} person walked home {i}" for i in range(200)]
     toxic = [f"you muslim idiot {i}" if i % 2 else f"you idiot {i}" for i in range(120)]
-    rows = [toxicity.cells(t) for t in neutral + toxic]
-    model = toxicity.fit_rows(rows, np.array([0.0] * 200 + [1.0] * 120))
+    model = fitted(spark, toxic, neutral)
     assert model.score("you idiot") > 0.5 > model.score("the tall person walked home")
     assert model.score("a muslim writer won the prize") < 0.5
-    assert abs(model.score("you muslim idiot") - model.score("you christian idiot")) < 0.1
+    assert abs(model.score("you muslim idiot") - model.score("you christian idiot")) < 0.05
+
+
+@pytest.mark.parametrize(("term", "others"), [("muslim", ["christian", "hindu", "sikh"]), ("musulmanes", ["cristianos", "judíos"]), ("ausländer", ["deutsche", "europäer"])])
+def test_a_term_that_alone_separates_the_labels(spark, term, others):
+    """Words and beginnings of the term are free of weight that its swaps lack, and neutral mentions stay neutral."""
+    rng = random.Random(1)
+    filler = lambda: " ".join(rng.choice("house river walks green seven table under light".split()) for _ in range(6))
+    model = fitted(spark, [f"{filler()} {term} {filler()}" for _ in range(240)], [f"{filler()} {filler()}" for _ in range(440)])
+    for frame in ("i am a {} person", "{}", "the {} house by the river"):
+        own = model.score(frame.format(term))
+        assert all(abs(own - model.score(frame.format(o))) < 0.05 for o in others)
+    mentions = toxicity.neutral_mentions()
+    assert sum(model.score(t) >= 0.5 for t in mentions) == 0
+
+
+def test_counterfactual_changes_are_those_of_the_texts():
+    text = "My neighbour, the MUSLIM baker, and the old man"
+    for change, term in zip(toxicity.counterfactuals(text), sorted(set(normal(text).split()) & toxicity.SWAPS.keys()), strict=True):
+        swapped = " ".join((toxicity.SWAPS[w] if w == term else w).decode() for w in normal(text).split())
+        before, after = toxicity.cells(text), toxicity.cells(swapped)
+        assert {c - 1 for c in change if c > 0} == after - before and {-c - 1 for c in change if c < 0} == before - after
+    assert toxicity.counterfactuals(None) == toxicity.counterfactuals("no term here") == []
+
+
+def test_selection_ratio(spark):
+    """Against the likelihoods written out."""
+    k = [(1, 0), (30, 2), (50, 70), (0, 9)]
+    got = spark.createDataFrame([(float(a), float(b)) for a, b in k], "n1 double, n0 double").select(toxicity.ratio(F.col("n1"), F.col("n0"), 50, 80)).collect()
+
+    def log_likelihood(a, n):
+        return sum(x * np.log(x / n) for x in (a, n - a) if x)
+
+    for (a, b), (r,) in zip(k, got, strict=True):
+        assert r == pytest.approx(2 * (log_likelihood(a, 50) + log_likelihood(b, 80) - log_likelihood(a + b, 130)), abs=1e-9)
 
 
 def test_toxicity_of_strange_rows(spark, strange):
