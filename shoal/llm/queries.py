@@ -41,7 +41,7 @@ def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "word", "at", "finding", "probability")
+    return found.select("doc_id", "at", "finding", "probability")
 
 
 def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
