@@ -1,6 +1,7 @@
 """Language, toxicity and leaks: held-out accuracy, brute force, strange rows."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -118,43 +119,90 @@ def test_toxicity_of_strange_rows(spark, strange):
         assert len(got) == t.count() and all(0 <= r["score"] <= 1 for r in got)
 
 
-def edit_distance(a, b):
-    """The least edits from ``a`` to any stretch of ``b``."""
-    row = [0] * (len(b) + 1)
-    for i, c in enumerate(a, start=1):
-        new = [i]
-        for j, d in enumerate(b, start=1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
-        row = new
-    return min(row)
-
-
-def test_leaks_against_brute_force():
+def spoilt(rng, body, edits):
+    """``body`` with so many random edits."""
+    body = bytearray(body)
+    for _ in range(edits):
+        p, kind = rng.randrange(len(body)), rng.random()
+        if kind < 0.4:
+            body[p] = rng.choice(b"abcdefgh")
+        elif kind < 0.7 and len(body) > 1:
+            del body[p]
+        else:
+            body.insert(p, rng.choice(b"xyz"))
+    return bytes(body)
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice(["the", "in", "er", "an", "tion", "re", "st"]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+
+def least_edits(body, text, window):
+    """The least edits from any window of ``body`` to any stretch of ``text``: the whole table, for all windows at once."""
+    n = min(window, len(body))
+    windows = np.stack([np.frombuffer(body[s : s + n], np.uint8) for s in range(len(body) - n + 1)])
+    text, row = np.frombuffer(text, np.uint8), np.zeros((len(text) + 1, len(windows)), np.int64)
+    down = np.arange(len(text) + 1)[:, None]
+    for i in range(n):
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (text[:, None] != windows[:, i]))
+        row = np.minimum.accumulate(new - down, axis=0) + down
+    return int(row.min())
+
+
+def compare_leaks(items, texts, monkeypatch=None, places=0, **own):
+    """Also with so few places handled at once that texts are searched in blocks and pieces."""
+    window, edits = own.get("window", decontam.WINDOW), own.get("edits", decontam.EDITS)
+    want = []
+    for text in texts:
+        least = {item: (0 if text == body else 99) if len(body) < own.get("q", decontam.Q) else least_edits(body, text, window) for item, body in items if body}
+        want.append({item: least[item] for item, body in items if body and least[item] <= (edits if len(body) >= window else edits * len(body) // window)})
+    for _ in range(1 + bool(places)):
+        found = decontam.Benchmark(items, **own).search(texts)
+        assert [{f.item: f.edits for f in got} for got in found] == want and [len(got) for got in found] == [len(w) for w in want]
+        if places:
+            monkeypatch.setattr(decontam, "PLACES", places)
+
+
+def test_leaks_against_brute_force(monkeypatch):
     rng = random.Random(3)
-    word = lambda: "".join(rng.choice(["the", "in", "er", "an", "tion", "re", "st"]) for _ in range(rng.randint(1, 3)))
-    prose = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, normal(prose(rng.randint(14, 30)))) for i in range(8)]
-    index = decontam.GramIndex(items, window=48, edits=3, q=8)
-    texts = []
-    for _ in range(60):
-        body = bytearray(rng.choice(items)[1])
-        for _ in range(rng.randrange(0, 9)):
-            p, kind = rng.randrange(len(body)), rng.random()
-            if kind < 0.4:
-                body[p] = rng.choice(b"abcdefgh")
-            elif kind < 0.7:
-                del body[p]
-            else:
-                body.insert(p, rng.choice(b"xyz"))
-        texts.append(normal(prose(10)) + b" " + bytes(body) + b" " + normal(prose(10)))
-    texts += [normal(prose(60)) for _ in range(10)] + [b"", b"short", items[0][1]]
-    found = index.search(texts)
-    for text, got in zip(texts, found, strict=True):
-        for item, body in items:
-            n = min(48, len(body))
-            budget = index.edits_for(n)
-            least = min(edit_distance(body[s : s + n], text) for s in range(len(body) - n + 1))
-            assert (item in {f.item for f in got}) == (least <= budget), (text, body, least)
+    items = [(i, normal(prose(rng, rng.randint(14, 30)))) for i in range(8)]
+    texts = [normal(prose(rng, 10)) + b" " + spoilt(rng, rng.choice(items)[1], rng.randrange(0, 9)) + b" " + normal(prose(rng, 10)) for _ in range(60)]
+    texts += [normal(prose(rng, 60)) for _ in range(10)] + [b"", b"short", items[0][1]]
+    compare_leaks(items, texts, monkeypatch, 40, window=48, edits=3, q=8)
+
+
+def test_leaks_of_short_items_at_the_default_parameters():
+    rng = random.Random(4)
+    items, texts = [], []
+    for n in [*range(1, 31), 43, 44, 57, 58, 71, 72, 73, 90]:
+        for _ in range(2):
+            body = normal(prose(rng, 40))[:n].strip()
+            items.append((len(items), body))
+            texts += [normal(prose(rng, 3)) + b" " + spoilt(rng, body, e) + b" " + normal(prose(rng, 3)) for e in range(min(7, 2 + n // 12))]
+    items.append((999, b"abcdefghijklmnopq"))
+    texts += [b"xx abcdefghZjklmnopq yy".lower(), items[3][1]]
+    compare_leaks(items, texts)
+
+
+def test_items_with_one_opening(monkeypatch):
+    """Many items that share a long opening, against texts that hold it alone, whole items, and items with edits."""
+    rng = random.Random(5)
+    opening = b"which of the following statements about this topic"
+    items = [(i, opening + b" " + normal(prose(rng, 8))) for i in range(40)]
+    texts = [opening, b" ".join([opening + b" and %d" % i for i in range(30)]), opening * 400]
+    texts += [normal(prose(rng, 5)) + b" " + spoilt(rng, rng.choice(items)[1], e) for e in range(8) for _ in range(2)]
+    compare_leaks(items, [t[:3000] for t in texts], monkeypatch, 500)
+
+
+def test_a_hot_opening_costs_seconds():
+    rng = random.Random(6)
+    opening = b"which of the following statements about this topic"
+    index = decontam.Benchmark([(i, opening + b" " + normal(prose(rng, 20))) for i in range(2000)])
+    for text in (opening * 20_000, b" ".join(opening + b" " + normal(prose(rng, 2)) for _ in range(1600))):
+        began = time.time()
+        index.search([text])
+        assert time.time() - began < 15
 
 
 def test_exact_passages_and_decoys(spark):
