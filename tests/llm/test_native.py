@@ -1,7 +1,10 @@
 """Licence and secret scans: SQL, brute force, strange rows, and no Python in their plans."""
 
+import random
 import re
+import textwrap
 import time
+from collections import Counter
 
 import duckdb
 import pytest
@@ -10,31 +13,67 @@ from pyspark.sql import functions as F
 from shoal.llm import license, secrets
 
 
-def dice(text, name):
-    words = lambda t: re.sub(r"[^a-z0-9]+", " ", t.lower()).split()
-    a, b = words(text), words(license.TEMPLATES[name])
-    pairs = lambda w: [f"{x} {y}" for x, y in zip(w, w[1:], strict=False)]
-    return 2 * len(set(pairs(a)) & set(pairs(b))) / max(1, len(a) + len(b) - 2)
+def windows_of(text, name):
+    """(start, bigrams of the window, Dice of the two multisets) for every window of the template's length."""
+    words = lambda x: re.sub(r"[^A-Za-z0-9]+", " ", x).lower().split()
+    pairs = lambda w: Counter(f"{x} {y}" for x, y in zip(w, w[1:], strict=False))
+    own, template = words(text), words(license.TEMPLATES[name])
+    size = min(len(own), len(template))
+    if size > 1:
+        for s in range(len(own) - size + 1):
+            yield s, size, 2 * sum((pairs(own[s : s + size]) & pairs(template)).values()) / (size + len(template) - 2)
+
+
+def licences_in(text):
+    good = [(-d, -size, name, s) for name in license.TEMPLATES for s, size, d in windows_of(text, name) if d >= 0.8]
+    covers = lambda b, a: 3 * (min(a[3] - a[1], b[3] - b[1]) - max(a[3], b[3])) >= -a[1]
+    return {(m[2], m[3], -m[1], -m[0]) for m in good if not any(b < m and covers(b, m) for b in good)}
+
+
+def licence_texts():
+    grant, header, mit = (license.TEMPLATES[x] for x in ("mit-grant", "apache-2.0-header", "mit-text"))
+    wrapped = lambda x, mark="": "\n".join(f"{mark}{line}" for line in textwrap.wrap(x, 60))
+    rng = random.Random(2)
+    garbled = lambda x, n: " ".join("other" if i in set(rng.sample(range(len(x.split())), n)) else w for i, w in enumerate(x.split()))
+    return [
+        "Released under the MIT License.", "x y\nLICENSED under the Apache License, Version 2.0!!\nz", "Licensed under CC BY-NC 4.0", grant, grant.replace(", ", ",\n"), "nothing here",
+        "Released under an MIT License today or tomorrow", "a " * 400, wrapped(grant) + "\n\nint main() { return 0; }", "/*\n" + wrapped(grant, " * ") + "\n */\nint x = the_license_of(software);",
+        "we like that it was Released under the MIT License. And so on it goes", wrapped(header, "# ") + "\nimport os\n" + wrapped(header, "# "), "int a;\n" + wrapped(mit, "// ") + "\nof the software",
+        f"{garbled(grant, 4)} then {garbled(header, 6)} and {license.TEMPLATES['zlib-text']}", "the the the license the license of the license the license", " ".join(license.TEMPLATES.values()), "mit license", "the MIT License.",
+        *[garbled(license.TEMPLATES[name], k) for name in ("bsd-2-clause-text", "isc-text", "gpl-notice", "cc-by-long") for k in (0, 1, 3, 8)],
+        license.TEMPLATES["isc-text"][:400], license.TEMPLATES["mit-text"][300:], license.TEMPLATES["gpl-notice"] * 3,
+    ]
 
 
 def test_licences_against_brute_force_and_sql(spark):
-    grant = license.TEMPLATES["mit-grant"]
-    texts = ["Released under the MIT License.", "x y\nLICENSED under the Apache License, Version 2.0!!\nz", "Licensed under CC BY-NC 4.0", grant, grant.replace(", ", ",\n"), "nothing here", "Released under an MIT License today or tomorrow", "a " * 400]
+    texts = licence_texts()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {(r["doc_id"], r["part"], r["line"]): r for r in license.scan(docs).collect()}
-    want = {}
-    for i, t in enumerate(texts):
-        parts = [("line", n, s) for n, s in enumerate(t.split("\n"))] + ([("text", -1, t)] if "\n" in t else [])
-        for kind, n, s in parts:
-            best = max(license.TEMPLATES, key=lambda name: (dice(s, name), [-ord(c) for c in name]))
-            if dice(s, best) >= 0.8:
-                want[(i, kind, n)] = (best, dice(s, best))
-    assert {k: (r["license"], r["dice"]) for k, r in got.items()} == want
+    got = {(r["doc_id"], r["license"], r["word"], r["n_words"], r["dice"]) for r in license.scan(docs).collect()}
+    want = {(i, *m) for i, t in enumerate(texts) for m in licences_in(t)}
+    assert got == want
+    named = {i: {m[1] for m in got if m[0] == i} for i in range(len(texts))}
+    assert named[8] == named[9] == named[3] == named[4] == {"mit-grant"} and named[10] == {"mit"} and named[12] == {"mit-text"}
+    assert sorted(m[1] for m in got if m[0] == 11) == ["apache-2.0-header"] * 2
     con = duckdb.connect()
     frame = docs.toPandas()
     con.register("documents", frame)
-    sql = {(r[0], r[1], r[2]): (r[3], r[4]) for r in con.execute(license.scan_sql()).fetchall()}
-    assert sql == want
+    assert set(con.execute(license.scan_sql()).fetchall()) == want
+
+
+def test_a_template_matches_itself_wholly(spark):
+    docs = spark.createDataFrame(list(enumerate(sorted(license.TEMPLATES))), "doc_id long, license string")
+    texts = spark.createDataFrame([(i, license.TEMPLATES[n]) for i, n in enumerate(sorted(license.TEMPLATES))], "doc_id long, text string")
+    got = license.scan(texts).join(docs, ["doc_id", "license"]).collect()
+    assert len(got) == len(license.TEMPLATES) and {r["dice"] for r in got} == {1.0}
+
+
+def test_licences_of_strange_rows(spark):
+    """Null ids, repeated rows and clashing columns give their own rows."""
+    notice = "x\n// Released under the\n// MIT License.\n"
+    rows = [(None, notice), (None, notice), (1, notice), (1, notice), (1, "Released under the MIT License. " * 3), (2, None), (3, "")]
+    docs = spark.createDataFrame([(*r, 7, "k", 5, 1.0) for r in rows], "doc_id long, text string, h long, license string, word long, dice double")
+    got = Counter((r["doc_id"], r["license"], r["word"], r["dice"]) for r in license.scan(docs).collect())
+    assert got == Counter({(None, "mit", 1, 1.0): 2, (1, "mit", 1, 1.0): 2, (1, "mit", 0, 1.0): 1, (1, "mit", 5, 1.0): 1, (1, "mit", 10, 1.0): 1})
 
 
 @pytest.fixture(scope="module")
