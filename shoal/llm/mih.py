@@ -7,35 +7,41 @@ agree with it up to radius / substrings bits in some substring (the pigeonhole
 principle, sharpened for the remainder), so probing these buckets finds them all;
 the codes found are checked and the original vectors ranked by exact distance. The
 radius is measured at fitting: the one that holds nearly all true neighbours in the
-sample. A block that finds fewer than ``k`` widens its own search until it has them.
-
-Queries and index meet in blocks of bounded size; nothing grows with a third table.
-
-Defined results: vectors that are null, zero, of another length than most, or that hold
-null or non-finite components take no part, nor do rows without an id; of repeated
-ids the nearest row counts, and as a query the smallest vector; ties go to the smaller
-id; equal vectors are ordinary neighbours at distance 0; fewer candidates than ``k``
-are all returned; an empty table gives an empty result; other columns are not read.
+sample. A query that has fewer than ``k`` rows of the sample within it gets a radius that holds
+``k`` of them, so every query finds ``k`` rows.
+
+The index stays where it lies: its rows are neither shuffled nor copied. Queries, a stated set, go to
+it in broadcast slices of a measured size, each with the distance of its k-th nearest
+sample row; only rows found within that distance leave a task, at most ``k`` + 1 a block.
+
+Defined results: vectors that are null, zero, or that hold null or non-finite components take no
+part; missing components of shorter vectors count as 0. A row without an id is a candidate
+(ties: after all others) but no query. Repeated ids are rows of their own: each query row leaves
+out itself and nothing else, and repeated query rows each have their result. Ties go to the
+smaller id; fewer candidates than ``k`` are all returned; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoal.runtime import ship
+from shoal.runtime import durable, ship
 
-#: Bits of a code and of a substring; rows that the rotation is learned from; steps of learning.
-BITS, SUBSTRING, SAMPLE, STEPS = 64, 8, 20_000, 30
+#: Bits of a code and of a substring; rows and bytes that the rotation is learned from at most; steps of learning.
+BITS, SUBSTRING, SAMPLE, SAMPLE_BYTES, STEPS = 64, 8, 20_000, 64 << 20, 30
 #: Share of the sample's true neighbours that the radius must hold; sample queries that measure it.
 HELD, MEASURED = 0.985, 256
-#: Rows of an index block, and queries of a query block.
-INDEX_BLOCK, QUERY_BLOCK = 2048, 1024
+#: Rows of an index block; bytes of queries that are broadcast at once.
+INDEX_BLOCK, SLICE_BYTES = 16_384, 16 << 20
 
 
 def learn_rotation(x: np.ndarray, steps: int, rng: np.random.Generator) -> np.ndarray:
@@ -89,9 +95,8 @@ MASKS = masks(SUBSTRING)
 class Block:
     """Substring tables over a block of codes."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x, self.codes = ids[order], x[order], codes[order]
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
         self.rows, self.first = [], []
         for j in range(codes.shape[1]):
             rows = np.argsort(self.codes[:, j], kind="stable")
@@ -102,7 +107,7 @@ class Block:
         """All rows within ``radius`` bits of ``code``, by probing the tables."""
         m = len(self.rows)
         whole, rest = divmod(radius, m)
-        seen = np.zeros(len(self.ids), bool)
+        seen = np.zeros(len(self.codes), bool)
         for j in range(m):
             # if every one of the first rest + 1 substrings differed by more than whole bits and the others by whole or more, the sum would pass the radius
             most = whole if j <= rest else whole - 1
@@ -116,34 +121,44 @@ class Block:
         found = np.flatnonzero(seen)
         return found[np.bitwise_count(self.codes[found] ^ code).sum(axis=1) <= radius]
 
-    def nearest(self, own: int, q: np.ndarray, code: np.ndarray, radius: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact distances of the ``k`` nearest rows found, without the query's own."""
-        bits = self.codes.shape[1] * 8
-        while True:
-            found = self.within(code, radius)
-            found = found[self.ids[found] != own]
-            if len(np.unique(self.ids[found])) >= k or radius >= bits:
-                break
-            radius = min(bits, radius + len(self.rows))
-        d = np.sqrt(((self.x[found] - q) ** 2).sum(axis=1))
-        order = np.lexsort((self.ids[found], d))
-        ids, d = self.ids[found][order], d[order]
-        _, at = np.unique(ids, return_index=True)
-        at = np.sort(at)[:k]
-        return ids[at], d[at]
-
-
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): rows that take part; lengths other than the commonest are left out."""
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - q) ** 2).sum(axis=1))
+
+
+def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
+    """(id, v): rows that take part, as long as the longest of them, and that length."""
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(
-        F.col("id").isNotNull()
-        & F.col("v").isNotNull()
-        & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-        & F.exists("v", lambda x: x != 0)
+        F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     )
-    lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-    return rows.filter(F.size("v") == (lengths["n"] if lengths else 0))
+    least, most = rows.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if least == most:
+        return rows, most or 0
+    return rows.select("id", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(most) - F.size("v"))).alias("v")), most
+
+
+def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids (0 for null), which of them are null, and the vectors as a matrix."""
+    ids, v = batch.column(0), batch.column(1)
+    x = v.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    return pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), pc.is_null(ids).to_numpy(zero_copy_only=False), x
+
+
+def reaches(codes: BinaryCodes, ids: np.ndarray, x: np.ndarray, k: int, qid: np.ndarray, q: np.ndarray) -> tuple[list[int], list[float]]:
+    """For each query the radius to search, and a distance within which it surely has ``k`` rows."""
+    own, bits, radii, bounds = codes.encode(x), codes.turn.shape[1], [], []
+    for i, v, c in zip(qid, q, codes.encode(q), strict=True):
+        apart = np.bitwise_count(own ^ c).sum(axis=1, dtype=np.int64)
+        itself = np.flatnonzero((ids == i) & (x == v).all(axis=1))[:1]
+        others = np.delete(np.arange(len(x)), itself)
+        if len(others) < k:
+            radii.append(bits)
+            bounds.append(float("inf"))
+            continue
+        radii.append(max(codes.radius, int(np.partition(apart[others], k - 1)[k - 1])))
+        found = others[apart[others] <= radii[-1]]
+        bounds.append(float(np.partition(distances(x[found], v), k - 1)[k - 1]) * (1 + 1e-9))
+    return radii, bounds
 
 
 def nearest_neighbours(
@@ -152,45 +167,79 @@ def nearest_neighbours(
     """(query_id, rank, id, score): the ``k`` nearest rows found for every row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = usable(vectors, id_col, vector_col)
-    fitted = rows.orderBy(F.xxhash64("id", F.lit(2)), "id").limit(sample).collect()  # at most ``sample`` vectors
-    schema = "query_id long, id long, score double"
-    if not fitted:
-        found = spark.createDataFrame([], schema)
+    rows, length = usable(vectors, id_col, vector_col)
+    width = 8 * length
+    if not width:
+        found = spark.createDataFrame([], "q long, query_id long, copies long, id long, score double")
     else:
-        codes = spark.sparkContext.broadcast(BinaryCodes.fit(np.array([r["v"] for r in fitted]), k, bits))
-        queries = rows.filter(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v"))
-        index_blocks = max(1, -(-rows.count() // INDEX_BLOCK))
-        query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        all_blocks = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-        index = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(index_blocks)).alias("ib"), all_blocks(query_blocks).alias("qb"))
-        asked = queries.select("id", "v", all_blocks(index_blocks).alias("ib"), F.pmod(F.xxhash64("id"), F.lit(query_blocks)).alias("qb"))
-
-        def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            v = t.column("v").combine_chunks()
-            flat = v.flatten().to_numpy(zero_copy_only=False)
-            return t.column("id").to_numpy(), flat.reshape(t.num_rows, -1)
-
-        def search(left: pa.Table, right: pa.Table) -> pa.Table:
-            out = [[], [], []]
-            if left.num_rows and right.num_rows:
-                own = codes.value
-                ids, x = matrix(left)
-                block = Block(ids, x, own.encode(x))
-                qid, q = matrix(right)
-                for i, v, c in zip(qid, q, own.encode(q), strict=True):
-                    got, d = block.nearest(int(i), v, c, own.radius, k)
-                    out[0].append(np.full(len(got), i))
-                    out[1].append(got)
-                    out[2].append(d)
-            cols = [np.concatenate(c) if c else [] for c in out]
-            return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "id", "score"), cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
-
-        found = index.repartition(parts, "ib", "qb").groupBy("ib", "qb").cogroup(asked.repartition(parts, "ib", "qb").groupBy("ib", "qb")).applyInArrow(search, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
-    return (
-        found.withColumn("rank", rank)
-        .filter(F.col("rank") <= k)
-        .select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
-    )
+        fitted = rows.orderBy(F.xxhash64("id", "v"), "id", "v").limit(max(1, min(sample, SAMPLE_BYTES // width))).collect()  # bounded in rows and bytes
+        x = np.array([r["v"] for r in fitted])
+        shared = spark.sparkContext.broadcast((BinaryCodes.fit(x, k, bits), np.array([-1 if r["id"] is None else r["id"] for r in fitted]), x))
+        asked = rows.filter(F.pmod("id", F.lit(every)) == 0).groupBy("id", "v").agg(F.count("*").alias("copies"))
+
+        def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codes, ids, x = shared.value
+            for batch in batches:
+                if batch.num_rows:
+                    qid, _, q = columns(batch)
+                    radii, bounds = reaches(codes, ids, x, k, qid, q)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(radii, pa.int32()), pa.array(bounds, pa.float64())], names=["id", "v", "copies", "radius", "bound"])
+
+        queries = durable(asked.mapInArrow(prepare, "id long, v array<double>, copies long, radius int, bound double"), "queries")
+        slices = max(1, -(-queries.count() * (width + 64) // SLICE_BYTES))
+        parts, before = [], 0
+        for s in range(slices):
+            own = queries.filter(F.pmod(F.xxhash64("id", "v"), F.lit(slices)) == s).orderBy("id", "v").collect()  # about SLICE_BYTES
+            part = search(rows, shared, own, before, k)
+            parts.append(durable(part, "found") if slices > 1 else part)
+            before += len(own)
+        found = parts[0]
+        for p in parts[1:]:
+            found = found.unionByName(p)
+    best = Window.partitionBy("q").orderBy("score", F.asc_nulls_last("id"))
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k + 1)
+    # the query's own row, once
+    itself = F.min(F.when((F.col("id") == F.col("query_id")) & (F.col("score") == 0), F.col("rank"))).over(Window.partitionBy("q"))
+    others = ranked.withColumn("itself", F.coalesce(itself, F.lit(k + 2))).filter("rank != itself")
+    numbered = others.withColumn("rank", F.col("rank") - (F.col("rank") > F.col("itself")).cast("int")).filter(F.col("rank") <= k)
+    each = numbered.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return each.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+
+
+def search(rows: DataFrame, shared, queries: list, before: int, k: int) -> DataFrame:
+    """(q, query_id, copies, id, score): of every block of ``rows`` at most ``k`` + 1 within reach of each query, the queries numbered from ``before`` on."""
+    spark = rows.sparkSession
+    q = np.array([r["v"] for r in queries])
+    numbers = [np.array([r[c] for r in queries]) for c in ("id", "copies", "radius", "bound")]
+    asked = spark.sparkContext.broadcast((q, *numbers))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        held, n = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, INDEX_BLOCK):
+                part = batch.slice(at, INDEX_BLOCK)
+                if n + part.num_rows > INDEX_BLOCK:
+                    yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                    held, n = [], 0
+                held.append(columns(part))
+                n += part.num_rows
+        if n:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, (q, qid, copies, radius, bound) = shared.value[0], asked.value
+        asked_codes = codes.encode(q) if len(q) else []
+        for ids, missing, x in blocks(batches):
+            block, out = Block(codes.encode(x)), []
+            for i, code in enumerate(asked_codes):
+                near = block.within(code, int(radius[i]))
+                d = distances(x[near], q[i])
+                near, d = near[d <= bound[i]], d[d <= bound[i]]
+                order = np.lexsort((ids[near], missing[near], d))[: k + 1]
+                out.append((np.full(len(order), i), near[order], d[order]))
+            if out:
+                i, near, d = map(np.concatenate, zip(*out, strict=True))
+                found = [pa.array(before + i), pa.array(qid[i]), pa.array(copies[i]), pa.array(ids[near], mask=missing[near]), pa.array(d)]
+                yield pa.RecordBatch.from_arrays(found, names=["q", "query_id", "copies", "id", "score"])
+
+    return rows.mapInArrow(find, "q long, query_id long, copies long, id long, score double")
