@@ -1,12 +1,15 @@
 """Language identification of mixed documents.
 
-A document's letter trigrams are taken as draws from a mixture of languages.
-Expectation-maximisation estimates the proportions; the set of languages is the
-one with the best penalised likelihood, among the sets of the largest proportions.
+A document's letter trigrams are taken as draws from a mixture of languages and of a
+background, under which every trigram is as likely as any other. Expectation-maximisation
+estimates the proportions; the set of languages is the one with the best penalised
+likelihood, among the sets of the largest proportions. What no language of the set
+explains falls to the background and lowers the score: texts of languages that were not
+learned, and letter junk, score low.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is
 every text where nothing could be learned; letters that no language knows give the
-even mixture, hence the first language at a low score; very long texts are read
+learned language that fits least badly, at a score near 0; very long texts are read
 whole; repeated rows and null ids each give a row; rows without a language are
 predicted but not learned from; an empty table gives an empty result; other columns,
 whatever their names, are not read.
@@ -67,20 +70,21 @@ class LanguageModel:
         return cls(languages, table / table.sum(axis=0))
 
     def proportions(self, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
-        """Proportions of the columns of ``p`` by expectation-maximisation, and the log-likelihood they reach."""
+        """Proportions of the columns of ``p`` and, last, of the background, by expectation-maximisation, and the log-likelihood they reach."""
+        p = np.concatenate([p, np.full((len(p), 1), 1 / CELLS)], axis=1)
         share = np.full(p.shape[1], 1 / p.shape[1])
         total = n.sum()
-        for _ in range(STEPS if p.shape[1] > 1 else 0):
+        for _ in range(STEPS):
             share = share * (p.T @ (n / (p @ share))) / total
         return share, float(n @ np.log(p @ share))
 
     def predict(self, text: str | None) -> tuple[str, float, list[tuple[str, float]]]:
-        """The language of the largest proportion, that proportion, and the selected mixture."""
+        """The language of the largest proportion, that proportion, and the selected mixture (the rest is background)."""
         cells, n = trigram_counts(text)
         if not len(cells) or not self.languages:
             return UNDETERMINED, 0.0, []
         p = self.p[cells]
-        share, _ = self.proportions(p, n)
+        share = self.proportions(p, n)[0][:-1]
         order = np.argsort(-share, kind="stable")
         order = order[: max(1, int((share >= LEAST_SHARE).sum()))]
         best = None
@@ -88,7 +92,7 @@ class LanguageModel:
             own, likelihood = self.proportions(p[:, order[:k]], n)
             value = likelihood - PENALTY * k * np.log(n.sum() + 1)
             if best is None or value > best[0]:
-                best = (value, order[:k], own)
+                best = (value, order[:k], own[:-1])
         _, chosen, own = best
         mixture = sorted(((self.languages[i], float(x)) for i, x in zip(chosen, own, strict=True)), key=lambda m: (-m[1], m[0]))
         return mixture[0][0], min(1.0, mixture[0][1]), mixture

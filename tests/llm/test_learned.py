@@ -43,6 +43,75 @@ def test_mixtures_are_selected():
     assert model.predict("ж" * 5)[0] in ("a", "b") and model.predict("𐐷𐐷")[0] in ("a", "b")
 
 
+def test_what_no_language_explains_scores_low(spark):
+    """Languages and scripts that were not learned, and letter junk, against held-out documents."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    rng = random.Random(1)
+    strange = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια",
+        "人人生而自由在尊严和权利上一律平等他们赋有理性和良心", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(400)),
+    ]
+    assert max(model.predict(x)[1] for x in strange) < 0.3
+    got = langid.identify(docs.filter("doc_id % 10 = 3"), model, keep=("text",)).toPandas()
+    assert (got.score >= 0.5).mean() > 0.999
+
+
+def plain_counts(text):
+    """Cells and counts of the trigrams by loops over characters."""
+    letters = [ord(c) if c.isalpha() else 32 for c in text.lower()]
+    counts, padded = {}, [32, *letters, 32]
+    for a, b, c in zip(padded, padded[1:], padded[2:], strict=False):
+        if b != 32 or (a != 32 and c != 32):
+            mixed = (((a * 0x1F1F1F1F + b) * 0x9E3779B1 + c) * 0x9E3779B97F4A7C15) & (2**64 - 1)
+            counts[mixed >> 49] = counts.get(mixed >> 49, 0) + 1
+    return counts if any(x != 32 for x in letters) else {}
+
+
+def plain_mixture(columns, counts):
+    """Shares (the background last) and log-likelihood by loops over cells."""
+    columns = [*columns, dict.fromkeys(counts, 1 / langid.CELLS)]
+    share, total = [1 / len(columns)] * len(columns), sum(counts.values())
+    for _ in range(langid.STEPS):
+        new = [0.0] * len(columns)
+        for c, n in counts.items():
+            whole = sum(w * p[c] for w, p in zip(share, columns, strict=True))
+            for j, (w, p) in enumerate(zip(share, columns, strict=True)):
+                new[j] += n * w * p[c] / whole
+        share = [x / total for x in new]
+    return share, sum(n * np.log(sum(w * p[c] for w, p in zip(share, columns, strict=True))) for c, n in counts.items())
+
+
+def test_predictions_against_brute_force(spark):
+    """Learning and prediction written out: every row of the sample counted, every mixture fitted, by plain loops."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    model = langid.fit(docs)
+    sums: dict = {}
+    for i, text, lang in rows:
+        if not held(i) and lang and text:
+            for c, n in plain_counts(text).items():
+                own = sums.setdefault(lang, {})
+                own[c] = own.get(c, 0) + n
+    names = sorted(sums)
+    totals = [sum(sums[x].values()) + 0.05 * langid.CELLS for x in names]
+    mixed = [(-1, rows[0][1][:300] + " " + next(t for _, t, lang in rows if lang != rows[0][2])[:200], ""), (-2, "12 3", ""), (-3, "ж" * 9, "")]
+    for _, text, _ in [r for r in rows if r[1] and len(r[1]) < 1500][:25] + mixed:
+        counts = plain_counts(text)
+        got = model.predict(text)
+        if not counts:
+            assert got == ("und", 0.0, [])
+            continue
+        p = [{c: (sums[x].get(c, 0) + 0.05) / t for c in counts} for x, t in zip(names, totals, strict=True)]
+        share = plain_mixture(p, counts)[0][:-1]
+        order = sorted(range(len(names)), key=lambda j: -share[j])[: max(1, sum(x >= langid.LEAST_SHARE for x in share))]
+        sets = [(plain_mixture([p[j] for j in order[: k + 1]], counts), order[: k + 1]) for k in range(len(order))]
+        (own, _), chosen = max(sets, key=lambda s: s[0][1] - langid.PENALTY * len(s[1]) * np.log(sum(counts.values()) + 1))
+        want = sorted(((names[j], x) for j, x in zip(chosen, own, strict=False)), key=lambda m: (-m[1], m[0]))
+        assert [m[0] for m in got[2]] == [m[0] for m in want] and [m[1] for m in got[2]] == pytest.approx([m[1] for m in want], abs=1e-9)
+
+
 def test_languages_of_strange_rows(spark, strange):
     for t in (strange, strange.limit(0)):
         got = langid.identify(t, langid.fit(t)).collect()
