@@ -29,17 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm.graph import connected_components
-from shoal.runtime import arrow_rows, durable, release, ship
+from shoal.runtime import durable, release, ship
 
-#: Fingerprints in a tile; elements of one block of the comparison; pairs of tiles that a worker is handed at once.
-TILE, BLOCK, TILE_PAIRS = 8192, 1 << 18, 16
+#: Fingerprints in a tile; elements of one block of the comparison.
+TILE, BLOCK = 1 << 15, 1 << 18
 #: For each byte value, its eight bits, lowest first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 SEEDS = (42, 43)
 #: Words of a parity sketch: bit x is set if an odd number of the shingle hashes is x modulo its bits.
 SKETCH = 4
-#: Pairs of shingle sets that a worker is handed at once: a set of a long text is large.
-SET_PAIRS = 64
 
 
 def shingles(text: str | None, shingle: int = 3) -> list[bytes]:
@@ -174,7 +172,7 @@ def spanning_links(distinct: DataFrame, radius: int = 3, first_radius: int | Non
     first_radius = radius if first_radius is None else first_radius
     placed = distinct.withColumn("pop", F.bit_count("f0"))
     sizes = {r["pop"]: max(1, -(-r["n"] // TILE)) for r in placed.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
-    subs = F.create_map(*[F.lit(x) for kv in sorted(sizes.items()) for x in kv]) if sizes else F.create_map(F.lit(0), F.lit(1))
+    subs = F.create_map(*[F.lit(x).cast(t) for p, n in sorted(sizes.items()) for x, t in ((p, "int"), (n, "long"))]) if sizes else F.create_map(F.lit(0), F.lit(1).cast("long"))
     tiles = (
         placed.withColumn("sub", F.pmod(F.xxhash64(*names), subs[F.col("pop")]).cast("int"))
         .groupBy("pop", "sub")
@@ -182,14 +180,12 @@ def spanning_links(distinct: DataFrame, radius: int = 3, first_radius: int | Non
         .select("pop", "sub", *[F.col(f"rows.{c}").alias(c) for c in ("k", *names, *extra)])
     )
     tiles = durable(tiles, "tiles")
-    partners = spark.createDataFrame(
-        [(p, q, s) for p in sizes for q in sizes if p <= q <= p + first_radius for s in range(sizes[q])] or [(-1, -1, -1)],
-        "pop int, rpop int, rsub int",
-    )
     parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # the partners of a tile follow from the sizes of the counts: no list of them is made
+    near = F.explode(F.sequence("pop", F.least(F.col("pop") + first_radius, F.lit(64)))).alias("rpop")
+    against = tiles.select("*", near).filter(subs[F.col("rpop")].isNotNull()).select("*", F.explode(F.sequence(F.lit(0), (subs[F.col("rpop")] - 1).cast("int"))).alias("rsub"))
     left = (
-        tiles.join(F.broadcast(partners), "pop")  # a row per tile and tile pair: its size is known above
-        .filter("rpop > pop or rsub >= sub")
+        against.filter("rpop > pop or rsub >= sub")
         .select(F.col("pop").alias("lpop"), F.col("sub").alias("lsub"), *[F.col(c).alias(f"l{c}") for c in ("k", *names, *extra)], "rpop", "rsub")
         .repartition(parts, "rpop", "rsub")
     )
@@ -235,35 +231,24 @@ def spanning_links(distinct: DataFrame, radius: int = 3, first_radius: int | Non
                     yield pa.RecordBatch.from_arrays([pa.array(keys[child]), pa.array(keys[parent])], names=["a", "b"])
 
     ready = paired.select(*cols, ((F.col("lpop") == F.col("rpop")) & (F.col("lsub") == F.col("rsub"))).alias("same"))
-    with arrow_rows(spark, TILE_PAIRS):
-        return durable(ready.mapInArrow(compare, "a long, b long"), "links")
+    out = durable(ready.mapInArrow(compare, "a long, b long"), "links")
+    release(tiles)
+    return out
 
 
-def near_duplicate_groups(
-    docs: DataFrame,
-    shingle: int = 3,
-    radius: int = 3,
-    words: int = 1,
-    first_radius: int | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """(id, f0[, f1], component_id): component_id is the smallest id that links of at most ``radius`` bits reach.
-
-    With one word the fingerprint itself is the node. With two (128 bits), pairs must
-    also lie within ``first_radius`` bits in the first word.
-    """
+def near_duplicate_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, f0, component_id): component_id is the smallest id that links of at most ``radius`` bits reach; the fingerprint itself is the node."""
     ship(docs.sparkSession)
-    names = [f"f{i}" for i in range(words)]
-    marked = durable(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
-    classes = marked.groupBy(*names).agg(F.min("id").alias("least"))
-    node = F.col("f0") if words == 1 else F.xxhash64(*names)
-    classes = durable(classes.withColumn("k", node), "classes")
-    roots = connected_components(spanning_links(classes.select("k", *names), radius, first_radius))
+    marked = durable(fingerprints(docs, shingle, 1, id_col, text_col), "fingerprints")
+    classes = durable(marked.groupBy("f0").agg(F.min("id").alias("least")).withColumn("k", F.col("f0")), "classes")
+    links = spanning_links(classes.select("k", "f0"), radius)
+    roots = connected_components(links)
+    release(links)
     linked = classes.select("k", "least").join(roots.withColumnRenamed("node", "k"), "k")
     component = linked.select("k", "root").join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("k", "component")
-    resolved = durable(classes.join(component, "k", "left").select(*names, F.coalesce("component", "least").alias("component_id")), "resolved")
-    return marked.join(resolved, names).select(F.col("id").alias(id_col), *names, "component_id")
+    resolved = durable(classes.join(component, "k", "left").select("f0", F.coalesce("component", "least").alias("component_id")), "resolved")
+    release(classes)
+    return marked.join(resolved, "f0").select(F.col("id").alias(id_col), "f0", "component_id")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -286,8 +271,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, least: float
     sets = durable(wanted.select("k", "text").mapInArrow(make, "k long, s binary"), "sets")
     left, right = (sets.select(F.col("k").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     ready = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    with arrow_rows(spark, SET_PAIRS):
-        out = durable(ready.mapInArrow(compare, "a long, b long"), "similar")
+    out = durable(ready.mapInArrow(compare, "a long, b long"), "similar")
     release(sets)
     return out
 
@@ -309,21 +293,28 @@ def verified_groups(
     """
     ship(docs.sparkSession)
     names = [f"f{i}" for i in range(words)]
-    texts = docs.select(F.xxhash64(text_col).alias("k"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     held = ["n", *[f"p{i}" for i in range(SKETCH)]]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = []
-            for t in batch.column(2):
+            for t in batch.column(3):
                 members = shingle_set(t.as_py(), shingle)
                 got.append([*fingerprint(t.as_py(), shingle, SEEDS[:words]), len(members), *sketch(members).tolist()])
             got = np.array(got, dtype=np.int64).reshape(-1, words + len(held))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[:, i]) for i in range(got.shape[1]))], names=["k", "id", *names, *held])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(got[:, i]) for i in range(got.shape[1]))], names=["k", "k2", "id", *names, *held])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    marked = durable(texts.mapInArrow(make, f"k long, id {kind}, " + ", ".join(f"{x} long" for x in (*names, *held))), "fingerprints")
-    classes = durable(marked.groupBy("k").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in (*names, *held)]), "classes")
+    for seed in range(42, 50):
+        # a class is a text, known by its hash; where two texts share that, another seed is taken
+        texts = rows.select(F.xxhash64("text", F.lit(seed)).alias("k"), F.xxhash64("text", F.lit(-seed)).alias("k2"), "id", "text")
+        marked = durable(texts.mapInArrow(make, f"k long, k2 long, id {kind}, " + ", ".join(f"{x} long" for x in (*names, *held))), "fingerprints")
+        classes = marked.groupBy("k").agg(F.min("id").alias("least"), (F.min("k2") == F.max("k2")).alias("one"), *[F.first(c).alias(c) for c in (*names, *held)])
+        classes = durable(classes, "classes")
+        if classes.filter("not one").isEmpty():
+            break
+        release(marked, classes)
     candidates = spanning_links(classes.select("k", *names, *held), radius, first_radius, least=least)
     sure = similar_pairs(candidates, texts, shingle, least)
     known = connected_components(sure).withColumnRenamed("node", "k")
@@ -332,7 +323,9 @@ def verified_groups(
     found = similar_pairs(rest, texts, shingle, least)
     release(candidates, rest, settled)
     roots = connected_components(sure.unionByName(found)).withColumnRenamed("node", "k")
+    release(sure, found)
     linked = classes.select("k", "least").join(roots, "k")
     component = linked.select("k", "root").join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("k", "component")
     resolved = durable(classes.join(component, "k", "left").select("k", F.coalesce("component", "least").alias("component_id")), "resolved")
+    release(classes)
     return marked.join(resolved, "k").select(F.col("id").alias(id_col), "component_id")

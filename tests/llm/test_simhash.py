@@ -107,6 +107,7 @@ def test_strange_rows(spark, strange):
     assert {r["component_id"] for r in got if r["doc_id"] in (4, 5)} == {4}
     assert [r["component_id"] for r in got if r["doc_id"] == 6] == [6, 6]
     assert simhash.near_duplicate_groups(strange.limit(0)).count() == 0
+    assert simhash.verified_groups(strange.limit(0), 5, 0.8, 34, first_radius=20).count() == 0
 
 
 def test_verified_groups_are_those_of_jaccard(spark):
@@ -154,3 +155,17 @@ def test_sketches_rule_out_no_similar_pair():
             assert simhash.can_be_similar(*sizes, *sketches, 0.8)[0] or simhash.jaccard(a, b) < 0.8
     far = [np.sort(rng.integers(0, 1 << 63, 100, dtype=np.uint64)) for _ in range(2)]
     assert not simhash.can_be_similar(np.array([100]), np.array([100]), *(simhash.sketch(x)[None, :] for x in far), 0.8)[0]
+
+
+def test_texts_of_one_hash_stay_apart(spark, monkeypatch):
+    """Where two texts share the hash that names their class, another seed is taken."""
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five six"), (3, "four five six")], "doc_id long, text string")
+    real = simhash.F.xxhash64
+
+    def poor(*cols):
+        seed = cols[-1]._jc.toString() if len(cols) == 2 and not isinstance(cols[-1], str) else ""
+        return simhash.F.lit(5).cast("long") if seed == "42" else real(*cols)
+
+    monkeypatch.setattr(simhash.F, "xxhash64", poor)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.verified_groups(docs, 5, 0.8, 34, first_radius=20).collect()}
+    assert got == {1: 1, 2: 2, 3: 2}
