@@ -8,13 +8,13 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: list[str] = []
+#: Tables that ``durable`` wrote and nothing has released: path to the file system's configuration.
+_WRITTEN: dict[str, object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+
+    The table goes when it is released, or when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/shoal/{tag}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.unregister(_delete_written)
+        atexit.register(_delete_written)
+    _WRITTEN[path] = spark.sparkContext
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shoal_path = path
@@ -48,34 +55,29 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Delete tables that ``durable`` wrote and that nothing reads any more."""
     for t in tables:
-        sc = t.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(t.shoal_path)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(t.shoal_path)
 
 
-#: Rows in an Arrow batch: whole texts can be long, and a worker holds a batch at a time.
-BATCH_ROWS = "1000"
+def _delete(path: str) -> None:
+    sc = _WRITTEN.pop(path)
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jvm.org.apache.hadoop.conf.Configuration() if sc._jsc is None else sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of so many rows for what is run inside; for tables whose rows are large by design."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def _delete_written() -> None:
+    """At the end of the driver's program: what was not released."""
+    for path in list(_WRITTEN):
+        try:
+            _delete(path)
+        except Exception:  # noqa: BLE001  # the JVM may be gone; the folder is a scratch folder
+            return
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers once per application; they may run where it is not installed.
 
-    Arrow batches are made smaller too, unless the session sets their size itself.
+    The session is left as it is: Arrow batches are bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     sc = spark.sparkContext
     if getattr(sc, "_shoal_shipped", False):
         return
