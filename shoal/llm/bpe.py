@@ -341,26 +341,30 @@ def count_tokens(
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def encode_texts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) per row; a null text has no ids."""
+def encode_texts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, ids array<int>[, decoded_sha256]) per row; a null text has no ids. With ``decoded`` the ids are decoded in the same pass, and the digest of that text is given."""
     ship(docs.sparkSession)
+    extra = ["decoded_sha256"] if decoded else []
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with remembering(merge_automaton(vocabulary, SMALL_MEMORY)) as automaton:
             for batch in batches:
-                first, made, size = 0, [], 0
+                first, made, digests, size = 0, [], [], 0
                 for k, t in enumerate(batch.column(1), start=1):
                     made.append(automaton.encode(t.as_py()))
+                    if decoded:
+                        digests.append(hashlib.sha256(automaton.decode(made[-1]).encode()).hexdigest())
                     size += len(made[-1])
                     if size >= OUTPUT_BYTES or k == batch.num_rows:
                         offsets = np.cumsum([0, *(len(m) // 4 for m in made)]).astype(np.int32)
                         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), "<i4")))
-                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, k - first), ids], names=["id", "ids"])
-                        first, made, size = k, [], 0
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, k - first), ids, *([pa.array(digests, pa.string())] if decoded else [])], names=["id", "ids", *extra])
+                        first, made, digests, size = k, [], [], 0
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, f"id {kind}, ids array<int>").select(F.col("id").alias(id_col), "ids")
+    schema = ", ".join([f"id {kind}", "ids array<int>", *(f"{c} string" for c in extra)])
+    return rows.mapInArrow(encode, schema).select(F.col("id").alias(id_col), "ids", *extra)
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -1,5 +1,6 @@
 """The pipeline's stages on planted documents, on strange rows and on nothing."""
 
+import hashlib
 import random
 
 import pytest
@@ -43,6 +44,8 @@ def test_stages_do_their_work(spark):
     out = corpus_pipeline.tokens(spark, kept, SF)
     back = {r["text"] for r in bpe.decode_ids(out).collect()}
     assert back == {r["text"] for r in rows}
+    digest = lambda x: hashlib.sha256((x or "").encode()).hexdigest()
+    assert sorted(r["decoded_sha256"] for r in out.collect()) == sorted(digest(r["text"]) for r in rows)
 
 
 def test_repeated_rows_stay_once(spark):
@@ -51,6 +54,32 @@ def test_repeated_rows_stay_once(spark):
     assert chained(spark, twice, 2).count() == chained(spark, docs, 2).count()
 
 
+def test_texts_of_no_learned_language_go(spark):
+    strange = ["Все люди рождаются свободными и равными", "人人生而自由在尊严和权利上一律平等", "bcdfg hjklm npqrs tvwxz bcdgf hkjlm nprqs" * 5]
+    docs = planted(spark).unionByName(spark.createDataFrame([(100 + i, t, None, "src", len(t)) for i, t in enumerate(strange)], "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()}
+    assert not kept & {100, 101, 102, 6, 7, 8} and {0, 1, 2, 3, 4, 5, 9, None} <= kept
+
+
+def test_many_keys_are_joined_without_a_broadcast(spark, monkeypatch):
+    docs = planted(spark)
+    want = sorted(map(str, chained(spark, docs, 3).collect()))
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_BYTES", -1)
+    assert sorted(map(str, chained(spark, docs, 3).collect())) == want
+
+
+def test_stages_on_strange_rows(spark, strange):
+    """Every stage takes nulls, empty and long texts, repeated rows and columns of other names."""
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, strange, SF)
+        assert got.columns == (corpus_pipeline.COLUMNS if name != "tokens" else ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+        rows = got.collect()
+        if name == "language":
+            assert {r["doc_id"] for r in rows} <= {None, 4, 5, 6, 7, 8}
+        else:
+            assert len(rows) == (6 if name == "near_copies" else 12)
+
+
 def test_nothing_gives_nothing(spark):
     assert chained(spark, planted(spark).limit(0)).count() == 0
 
