@@ -28,43 +28,76 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key", F.struct(F.coalesce("doc_id", last).alias("i"), F.xxhash64("text").alias("h")))
 
 
+#: Bytes of keys that are broadcast to take documents out; beyond, the join is shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
+def without(rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """``rows`` whose ``key`` is none of the ``n`` different ``keys``: texts stay where they are, unless the keys are many."""
+    small = n * 24 <= BROADCAST_BYTES
+    return rows.join(F.broadcast(keys) if small else keys, "key", "left_anti")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that have a language."""
+    """Keep the documents that have a language.
+
+    Null and empty texts, and texts without a letter, have none; nor has a text of which no learned
+    language explains a third, whatever its length. Repeated rows and null ids are judged row by row; an
+    empty table stays empty; columns beyond those of ``documents`` are dropped.
+    """
     found = langid.identify(docs, langid.fit(docs), keep=("text", "lang", "source", "n_chars"))
     return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of every group of near copies; of repeated rows, one."""
+    """Keep the document of the smallest id of every group of near copies; of repeated rows, one.
+
+    A null id counts as the largest, so it stays only where its whole group has none; equal ids with
+    different texts are different documents; null and empty texts are copies of each other. Only keys are
+    shuffled to find the groups, and only those that go, or that are there repeatedly, come back to the texts.
+    """
     rows = keyed(docs)
     groups = simhash.verified_groups(rows, shingle=5, least=LEAST_COPY_SIMILARITY, radius=COPY_BITS, first_radius=COPY_FIRST_BITS, id_col="key")
-    kept = groups.filter(F.col("key") == F.col("component_id")).groupBy("key").agg(F.count("*").alias("copies"))
-    kept = durable(kept, "kept")
-    stays = rows.join(kept, "key")
-    once = stays.filter("copies = 1").select(*COLUMNS)
-    if kept.filter("copies > 1").isEmpty():
-        return once
-    return once.unionByName(stays.filter("copies > 1").dropDuplicates(["key"]).select(*COLUMNS))
+    verdicts = groups.groupBy("key").agg(F.count("*").alias("copies"), F.max(F.col("key") == F.col("component_id")).alias("stays"))
+    verdicts = durable(verdicts.filter("copies > 1 or not stays"), "verdicts")
+    gone, repeated = verdicts.filter("not stays").select("key"), verdicts.filter("stays").select("key")
+    n_gone, n_repeated = gone.count(), repeated.count()
+    once = without(rows, gone, n_gone)
+    if not n_repeated:
+        return once.select(*COLUMNS)
+    first = once.join(repeated, "key", "left_semi").dropDuplicates(["key"])
+    return without(once, repeated, n_repeated).unionByName(first).select(*COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a passage of the benchmark."""
+    """Drop the documents that hold a passage of the benchmark.
+
+    Null and empty texts hold none and stay; repeated rows go or stay together; rows with a null id are told
+    apart by their text; an empty table or benchmark changes nothing.
+    """
     rows = keyed(docs)
     leaks = decontam.find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col="key")
     leaked = durable(leaks.select("key").distinct(), "leaked")
-    return rows.join(leaked, "key", "left_anti").select(*COLUMNS)
+    return without(rows, leaked, leaked.count()).select(*COLUMNS)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret in the texts; all documents stay."""
+    """Replace every secret in the texts; all documents stay.
+
+    ``n_chars`` counts the new text (null for a null text); equal texts are cleaned alike, whatever path
+    they were found under; a text without a finding, null or empty, is as it was.
+    """
     found = durable(secrets.find_secrets(docs), "secrets")
     return secrets.redact(docs, found).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    encoded = bpe.encode_texts(docs)
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Token ids of every document, and the digest of the text that they decode to.
+
+    A null text counts as empty and has no tokens; every row, repeated or of a null id, gives one row.
+    """
+    encoded = bpe.encode_texts(docs, decoded=True)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [
