@@ -1,14 +1,17 @@
 """SimHash near-duplicates: word-shingle fingerprints, tiled exact comparison, components.
 
-Distinct fingerprints are laid out in tiles of one population count each. Tiles
-whose counts differ by more than the radius cannot hold a link and are never
-paired; every other pair of tiles is compared whole by exclusive-or and bit count.
-A pair of tiles emits a spanning forest of its links, never the links themselves,
-so a group of any size costs a row per member.
+Distinct fingerprints are dealt into strips; a task takes two strips and cuts them into tiles
+of one population count each. Tiles whose counts differ by more than the radius cannot
+hold a link and are skipped; every other pair of tiles is compared whole by
+exclusive-or and bit count. A pair of strips emits a spanning forest of its links, never the
+links themselves, so a group of any size costs a row per member. A fingerprint travels
+once for each strip: that is the square root of the number of tasks, until strips are full.
 
 ``verified_groups`` takes such links for candidates only. Those of the forest are held
-against the shingle sets of the two texts; then the tiles are compared once more, and
-of the links between texts that are not joined yet every one is held against them.
+against the shingle sets of the two texts; then the strips are compared once more, and
+of the links between texts that are not joined yet every one is held against them. Parity
+sketches of the sets, a small one inside the comparison and a larger one for the pairs that it
+finds, rule most false candidates out before any set is made.
 
 Defined results: a null or empty text, or one of blanks only, has no words and
 the fingerprint zero, which links like any other; texts with fewer words than a
@@ -21,6 +24,7 @@ empty table gives an empty result; columns other than the two named are not read
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +35,15 @@ from pyspark.sql import functions as F
 from shoal.llm.graph import connected_components
 from shoal.runtime import durable, release, ship
 
-#: Fingerprints in a tile; elements of one block of the comparison.
-TILE, BLOCK = 1 << 15, 1 << 18
+#: Most fingerprints in a strip, and least if there are tasks enough; elements of one block of the comparison.
+STRIP, LEAST_STRIP, BLOCK = 1 << 19, 256, 1 << 18
 #: For each byte value, its eight bits, lowest first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 SEEDS = (42, 43)
-#: Words of a parity sketch: bit x is set if an odd number of the shingle hashes is x modulo its bits.
-SKETCH = 4
+#: Words of the small and of the large parity sketch: bit x is set if an odd number of the shingle hashes is x modulo its bits.
+SKETCH, LARGE_SKETCH = 4, 16
+#: Bytes of keys that are broadcast to find their texts; beyond, the join is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def shingles(text: str | None, shingle: int = 3) -> list[bytes]:
@@ -64,9 +70,9 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / union if (union := len(a) + len(b) - both) else 1.0
 
 
-def sketch(members: np.ndarray) -> np.ndarray:
+def sketch(members: np.ndarray, words: int = SKETCH) -> np.ndarray:
     """The parity sketch of a shingle set: two sketches differ in no more bits than their sets in members."""
-    odd = np.bincount((members % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    odd = np.bincount((members % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -152,11 +158,25 @@ def forest(n: int, links: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.n
     return child, labels[child]
 
 
-def tile_forest(left: np.ndarray, right: np.ndarray | None, radius: int, first_radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (child, parent) of a spanning forest of the links between two tiles (within one if right is None)."""
-    shift = 0 if right is None else len(left)
-    links = ((i, j + shift) for i, j in tile_links(left, right, radius, first_radius))
-    return forest(len(left) + (0 if right is None else len(right)), links)
+def by_count(words: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the rows by the population count of their first word, and (count, begin, end) of each tile."""
+    counts = np.bitwise_count(words[:, 0])
+    order = np.argsort(counts, kind="stable")
+    edges = np.searchsorted(counts[order], np.arange(66))
+    return order, [(c, int(edges[c]), int(edges[c + 1])) for c in range(65) if edges[c] < edges[c + 1]]
+
+
+def strip_links(left: np.ndarray, right: np.ndarray | None, radius: int, first_radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i, j) of the links between two strips (within one if right is None), tile pair by tile pair."""
+    order, tiles = by_count(left)
+    other, others = (order, tiles) if right is None else by_count(right)
+    for p, a, b in tiles:
+        for q, c, d in others:
+            if abs(p - q) > first_radius or (right is None and q < p):
+                continue
+            one = right is None and p == q
+            for i, j in tile_links(left[order[a:b]], None if one else (left if right is None else right)[other[c:d]], radius, first_radius):
+                yield order[a:b][i], other[c:d][j]
 
 
 def spanning_links(distinct: DataFrame, radius: int = 3, first_radius: int | None = None, apart: str | None = None, least: float | None = None) -> DataFrame:
@@ -169,56 +189,40 @@ def spanning_links(distinct: DataFrame, radius: int = 3, first_radius: int | Non
     spark = distinct.sparkSession
     names = [c for c in distinct.columns if c.startswith("f")]
     extra = (["n", *[f"p{i}" for i in range(SKETCH)]] if least is not None else []) + ([apart] if apart else [])
+    own = ["k", *names, *extra]
     first_radius = radius if first_radius is None else first_radius
-    placed = distinct.withColumn("pop", F.bit_count("f0"))
-    sizes = {r["pop"]: max(1, -(-r["n"] // TILE)) for r in placed.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
-    subs = F.create_map(*[F.lit(x).cast(t) for p, n in sorted(sizes.items()) for x, t in ((p, "int"), (n, "long"))]) if sizes else F.create_map(F.lit(0), F.lit(1).cast("long"))
-    tiles = (
-        placed.withColumn("sub", F.pmod(F.xxhash64(*names), subs[F.col("pop")]).cast("int"))
-        .groupBy("pop", "sub")
-        .agg(F.collect_list(F.struct("k", *names, *extra)).alias("rows"))
-        .select("pop", "sub", *[F.col(f"rows.{c}").alias(c) for c in ("k", *names, *extra)])
-    )
-    tiles = durable(tiles, "tiles")
-    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # the partners of a tile follow from the sizes of the counts: no list of them is made
-    near = F.explode(F.sequence("pop", F.least(F.col("pop") + first_radius, F.lit(64)))).alias("rpop")
-    against = tiles.select("*", near).filter(subs[F.col("rpop")].isNotNull()).select("*", F.explode(F.sequence(F.lit(0), (subs[F.col("rpop")] - 1).cast("int"))).alias("rsub"))
-    left = (
-        against.filter("rpop > pop or rsub >= sub")
-        .select(F.col("pop").alias("lpop"), F.col("sub").alias("lsub"), *[F.col(c).alias(f"l{c}") for c in ("k", *names, *extra)], "rpop", "rsub")
-        .repartition(parts, "rpop", "rsub")
-    )
-    right = tiles.select(F.col("pop").alias("rpop"), F.col("sub").alias("rsub"), *[F.col(c).alias(f"r{c}") for c in ("k", *names, *extra)])
-    paired = left.join(right.repartition(parts, "rpop", "rsub"), ["rpop", "rsub"])
-    cols = [f"{side}{c}" for side in "lr" for c in ("k", *names, *extra)]
+    n = distinct.count()
+    strips = max(1, -(-n // STRIP), min(ceil(sqrt(4 * spark.sparkContext.defaultParallelism)), -(-n // LEAST_STRIP)))
+    dealt = distinct.withColumn("s", F.pmod(F.xxhash64(*names), F.lit(strips)).cast("int"))
+    whole = durable(dealt.groupBy("s").agg(F.collect_list(F.struct(*own)).alias("rows")).select("s", *[F.col(f"rows.{c}").alias(c) for c in own]), "strips")
+    parts = max(strips * (strips + 1) // 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    left = whole.select("s", F.explode(F.sequence("s", F.lit(strips - 1))).alias("t"), *[F.col(c).alias(f"l{c}") for c in own])
+    right = whole.filter("s > 0").select(F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("s"), F.col("s").alias("t"), *[F.col(c).alias(f"r{c}") for c in own])
+    # a strip against itself is there once: it has no right side
+    paired = left.repartition(parts, "s", "t").join(right.repartition(parts, "s", "t"), ["s", "t"], "left").select(*[f"{side}{c}" for side in "lr" for c in own])
+    w, e = len(names), len(extra)
+
+    def side(columns: list[pa.Array], at: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray | None]:
+        values = [c[at].values.to_numpy(zero_copy_only=False) for c in columns]
+        words, more = np.stack(values[1 : 1 + w], axis=1).view(np.uint64), values[1 + w :]
+        return values[0], words, more, np.stack(more[1 : 1 + SKETCH], axis=1) if least is not None else None
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def numbers(column, at):
-            return column[at].values.to_numpy(zero_copy_only=False)
-
         for batch in batches:
             for at in range(batch.num_rows):
-                w, e = len(names), len(extra)
-                lk = numbers(batch.column(0), at)
-                lf = np.stack([numbers(batch.column(1 + i), at) for i in range(w)], axis=1).view(np.uint64)
-                rk = numbers(batch.column(1 + w + e), at)
-                rf = np.stack([numbers(batch.column(2 + w + e + i), at) for i in range(w)], axis=1).view(np.uint64)
-                same = batch.column(2 + 2 * (w + e))[at].as_py()
-                lx = [numbers(batch.column(1 + w + i), at) for i in range(e)]
-                rx = [numbers(batch.column(2 + 2 * w + e + i), at) for i in range(e)]
-                lp, rp = (np.stack(x[1 : 1 + SKETCH], axis=1) if least is not None else None for x in (lx, rx))
-                shift = 0 if same or apart else len(lk)
+                lk, lf, lx, lp = side(batch.columns[: 1 + w + e], at)
+                same = not batch.column(1 + w + e)[at].is_valid
+                rk, rf, rx, rp = (lk, lf, lx, lp) if same else side(batch.columns[1 + w + e :], at)
 
                 def links():
-                    for i, j in tile_links(lf, None if same else rf, radius, first_radius):
+                    for i, j in strip_links(lf, None if same else rf, radius, first_radius):
                         if apart:
                             differ = lx[-1][i] != rx[-1][j]
                             i, j = i[differ], j[differ]
                         if least is not None:
                             fits = can_be_similar(lx[0][i], rx[0][j], lp[i], rp[j], least)
                             i, j = i[fits], j[fits]
-                        yield i, j + shift
+                        yield i, j if same or apart else j + len(lk)
 
                 if apart:
                     for i, j in links():
@@ -230,9 +234,8 @@ def spanning_links(distinct: DataFrame, radius: int = 3, first_radius: int | Non
                 if len(child):
                     yield pa.RecordBatch.from_arrays([pa.array(keys[child]), pa.array(keys[parent])], names=["a", "b"])
 
-    ready = paired.select(*cols, ((F.col("lpop") == F.col("rpop")) & (F.col("lsub") == F.col("rsub"))).alias("same"))
-    out = durable(ready.mapInArrow(compare, "a long, b long"), "links")
-    release(tiles)
+    out = durable(paired.mapInArrow(compare, "a long, b long"), "links")
+    release(whole)
     return out
 
 
@@ -251,11 +254,17 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, id
     return marked.join(resolved, "f0").select(F.col("id").alias(id_col), "f0", "component_id")
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose texts in ``texts(k, text)`` have shingle sets of a Jaccard similarity of ``least`` or more."""
-    spark = texts.sparkSession
-    ends = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
-    wanted = texts.join(ends, "k", "left_semi").dropDuplicates(["k"])
+def similar_pairs(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose texts in ``texts(k, text)`` have shingle sets of a Jaccard similarity of ``least`` or more; ``classes(k, n, q)`` has their sizes and large sketches."""
+    sketched = pairs
+    for c in "ab":
+        sketched = sketched.join(classes.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("q").alias(f"q{c}")), c)
+    odd = F.aggregate(F.zip_with("qa", "qb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = F.greatest(odd, F.abs(F.col("na") - F.col("nb"))) * (1 + least) <= (1 - least) * (F.col("na") + F.col("nb")) + 1e-6
+    plausible = durable(sketched.filter(near).select("a", "b"), "plausible")
+    ends = plausible.select(F.col("a").alias("k")).unionByName(plausible.select(F.col("b").alias("k"))).distinct()
+    few = plausible.count() * 2 * 8 <= BROADCAST_BYTES
+    wanted = texts.select("k", "text").join(F.broadcast(ends) if few else ends, "k", "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,11 +277,11 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, least: float
             keep = pa.array([jaccard(a, b) >= least for a, b in zip(*sets, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    sets = durable(wanted.select("k", "text").mapInArrow(make, "k long, s binary"), "sets")
+    sets = durable(wanted.dropDuplicates(["k"]).mapInArrow(make, "k long, s binary"), "sets")
     left, right = (sets.select(F.col("k").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-    ready = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    ready = plausible.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
     out = durable(ready.mapInArrow(compare, "a long, b long"), "similar")
-    release(sets)
+    release(sets, plausible)
     return out
 
 
@@ -301,26 +310,27 @@ def verified_groups(
             got = []
             for t in batch.column(3):
                 members = shingle_set(t.as_py(), shingle)
-                got.append([*fingerprint(t.as_py(), shingle, SEEDS[:words]), len(members), *sketch(members).tolist()])
-            got = np.array(got, dtype=np.int64).reshape(-1, words + len(held))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(got[:, i]) for i in range(got.shape[1]))], names=["k", "k2", "id", *names, *held])
+                got.append([*fingerprint(t.as_py(), shingle, SEEDS[:words]), len(members), *sketch(members).tolist(), *sketch(members, LARGE_SKETCH).tolist()])
+            got = np.array(got, dtype=np.int64).reshape(-1, words + len(held) + LARGE_SKETCH)
+            large = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * LARGE_SKETCH), pa.array(got[:, -LARGE_SKETCH:].ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(got[:, i]) for i in range(words + len(held))), large], names=["k", "k2", "id", *names, *held, "q"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     for seed in range(42, 50):
         # a class is a text, known by its hash; where two texts share that, another seed is taken
         texts = rows.select(F.xxhash64("text", F.lit(seed)).alias("k"), F.xxhash64("text", F.lit(-seed)).alias("k2"), "id", "text")
-        marked = durable(texts.mapInArrow(make, f"k long, k2 long, id {kind}, " + ", ".join(f"{x} long" for x in (*names, *held))), "fingerprints")
-        classes = marked.groupBy("k").agg(F.min("id").alias("least"), (F.min("k2") == F.max("k2")).alias("one"), *[F.first(c).alias(c) for c in (*names, *held)])
+        marked = durable(texts.mapInArrow(make, f"k long, k2 long, id {kind}, " + ", ".join(f"{x} long" for x in (*names, *held)) + ", q array<long>"), "fingerprints")
+        classes = marked.groupBy("k").agg(F.min("id").alias("least"), (F.min("k2") == F.max("k2")).alias("one"), *[F.first(c).alias(c) for c in (*names, *held, "q")])
         classes = durable(classes, "classes")
         if classes.filter("not one").isEmpty():
             break
         release(marked, classes)
     candidates = spanning_links(classes.select("k", *names, *held), radius, first_radius, least=least)
-    sure = similar_pairs(candidates, texts, shingle, least)
+    sure = similar_pairs(candidates, classes, texts, shingle, least)
     known = connected_components(sure).withColumnRenamed("node", "k")
     settled = durable(classes.join(known, "k", "left").select("k", *names, *held, F.coalesce("root", "k").alias("g")), "settled")
     rest = spanning_links(settled, radius, first_radius, apart="g", least=least)
-    found = similar_pairs(rest, texts, shingle, least)
+    found = similar_pairs(rest, classes, texts, shingle, least)
     release(candidates, rest, settled)
     roots = connected_components(sure.unionByName(found)).withColumnRenamed("node", "k")
     release(sure, found)

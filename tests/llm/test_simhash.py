@@ -50,7 +50,7 @@ def mutated(rng, words, n):
 
 
 def test_groups_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "TILE", 16)
+    monkeypatch.setattr(simhash, "STRIP", 16)
     monkeypatch.setattr(simhash, "BLOCK", 64)
     rng = random.Random(5)
     texts = []
@@ -76,7 +76,7 @@ def test_a_large_group_gives_a_row_per_member():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, dtype=np.uint64)
     x = np.array([base ^ np.uint64(1 << int(b)) for b in rng.integers(0, 64, 500)], dtype=np.uint64)[:, None]
-    child, parent = simhash.tile_forest(x, None, 3, 3)
+    child, parent = simhash.forest(len(x), simhash.strip_links(x, None, 3, 3))
     assert len(child) == 499 and (parent == 0).all()
 
 
