@@ -254,26 +254,32 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, id
     return marked.join(resolved, "f0").select(F.col("id").alias(id_col), "f0", "component_id")
 
 
-def similar_pairs(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose texts in ``texts(k, text)`` have shingle sets of a Jaccard similarity of ``least`` or more; ``classes(k, n, q)`` has their sizes and large sketches."""
-    sketched = pairs
+def plausible_pairs(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(a, b, apart): those of ``pairs(a, b)`` whose sizes and large sketches in ``classes(k, n, q)`` allow the similarity, and how far apart they are by these."""
     for c in "ab":
-        sketched = sketched.join(classes.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("q").alias(f"q{c}")), c)
+        pairs = pairs.join(classes.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("q").alias(f"q{c}")), c)
     odd = F.aggregate(F.zip_with("qa", "qb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = F.greatest(odd, F.abs(F.col("na") - F.col("nb"))) * (1 + least) <= (1 - least) * (F.col("na") + F.col("nb")) + 1e-6
-    plausible = durable(sketched.filter(near).select("a", "b"), "plausible")
+    apart = F.greatest(odd.cast("long"), F.abs(F.col("na") - F.col("nb")))
+    near = pairs.select("a", "b", apart.alias("apart"), (F.col("na") + F.col("nb")).alias("both"))
+    return durable(near.filter(F.col("apart") * (1 + least) <= (1 - least) * F.col("both") + 1e-6).select("a", "b", "apart"), "plausible")
+
+
+def similar_pairs(plausible: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts in ``texts(k, id, text)`` have shingle sets of a Jaccard similarity of ``least`` or more."""
     ends = plausible.select(F.col("a").alias("k")).unionByName(plausible.select(F.col("b").alias("k"))).distinct()
-    few = plausible.count() * 2 * 8 <= BROADCAST_BYTES
-    wanted = texts.select("k", "text").join(F.broadcast(ends) if few else ends, "k", "left_semi")
+    few = plausible.count() * 2 * 40 <= BROADCAST_BYTES
+    ends = ends.join(classes.select("k", "least"), "k")  # of equal texts the one of the smallest id
+    wanted = texts.join((F.broadcast(ends) if few else ends).withColumnRenamed("k", "end"), (F.col("k") == F.col("end")) & F.col("id").eqNullSafe(F.col("least"))).select("k", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(1)], pa.binary())
+            # of the hashes 32 bits travel: of two sets of n members, n * n / 2**32 are taken for common by chance
+            got = pa.array([np.unique(shingle_set(t.as_py(), shingle).astype("<u4")).tobytes() for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), got], names=["k", "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [[np.frombuffer(x.as_py(), "<u8") for x in batch.column(c)] for c in (2, 3)]
+            sets = [[np.frombuffer(x.as_py(), "<u4") for x in batch.column(c)] for c in (2, 3)]
             keep = pa.array([jaccard(a, b) >= least for a, b in zip(*sets, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -281,7 +287,7 @@ def similar_pairs(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingl
     left, right = (sets.select(F.col("k").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     ready = plausible.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
     out = durable(ready.mapInArrow(compare, "a long, b long"), "similar")
-    release(sets, plausible)
+    release(sets)
     return out
 
 
@@ -325,15 +331,29 @@ def verified_groups(
         if classes.filter("not one").isEmpty():
             break
         release(marked, classes)
-    candidates = spanning_links(classes.select("k", *names, *held), radius, first_radius, least=least)
+    candidates = plausible_pairs(spanning_links(classes.select("k", *names, *held), radius, first_radius, least=least), classes, least)
     sure = similar_pairs(candidates, classes, texts, shingle, least)
-    known = connected_components(sure).withColumnRenamed("node", "k")
-    settled = durable(classes.join(known, "k", "left").select("k", *names, *held, F.coalesce("root", "k").alias("g")), "settled")
-    rest = spanning_links(settled, radius, first_radius, apart="g", least=least)
-    found = similar_pairs(rest, classes, texts, shingle, least)
-    release(candidates, rest, settled)
+
+    def settle(*links: DataFrame) -> DataFrame:
+        """(k, g): the component of every text by the links known so far."""
+        every = links[0]
+        for more in links[1:]:
+            every = every.unionByName(more)
+        return durable(classes.select("k").join(connected_components(every).withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("root", "k").alias("g")), "settled")
+
+    settled = settle(sure)
+    rest = spanning_links(classes.select("k", *names, *held).join(settled, "k"), radius, first_radius, apart="g", least=least)
+    rest = plausible_pairs(rest, classes, least)
+    # of the pairs between two components the nearest first: where it holds, the others need no look
+    of = lambda c: settled.select(F.col("k").alias(c), F.col("g").alias(f"g{c}"))
+    between = rest.join(of("a"), "a").join(of("b"), "b")
+    nearest = between.groupBy(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h")).agg(F.min(F.struct("apart", "a", "b")).alias("p"))
+    first = similar_pairs(durable(nearest.select("p.a", "p.b"), "nearest"), classes, texts, shingle, least)
+    joined = settle(sure, first)
+    of = lambda c: joined.select(F.col("k").alias(c), F.col("g").alias(f"g{c}"))
+    left = durable(rest.join(of("a"), "a").join(of("b"), "b").filter("ga != gb").select("a", "b"), "left")
+    found = first.unionByName(similar_pairs(left, classes, texts, shingle, least))
     roots = connected_components(sure.unionByName(found)).withColumnRenamed("node", "k")
-    release(sure, found)
     linked = classes.select("k", "least").join(roots, "k")
     component = linked.select("k", "root").join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("k", "component")
     resolved = durable(classes.join(component, "k", "left").select("k", F.coalesce("component", "least").alias("component_id")), "resolved")
