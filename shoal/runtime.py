@@ -73,11 +73,19 @@ def _delete_written() -> None:
             return
 
 
+#: Rows in an Arrow batch: whole texts can be long, and a worker holds a batch at a time.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers once per application; they may run where it is not installed.
 
-    The session is left as it is: Arrow batches are bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``.
+    Arrow batches are made smaller for the session too, unless it sets their size itself: a batch is planned
+    when a result is asked for, which is after any call of this library, and batches of 10,000 whole texts
+    cost an executor with its workers some 700 MB more.
     """
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
     sc = spark.sparkContext
     if getattr(sc, "_shoal_shipped", False):
         return
