@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.runtime import ship
+from shoal.runtime import freeing, ship
 
 #: Fixed value: the pre-split pattern of byte-level vocabularies of this family.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -337,7 +337,7 @@ def count_tokens(
     rows = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text")
     )
-    out = rows.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(freeing(count), f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
@@ -364,7 +364,7 @@ def encode_texts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col:
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = ", ".join([f"id {kind}", "ids array<int>", *(f"{c} string" for c in extra)])
-    return rows.mapInArrow(encode, schema).select(F.col("id").alias(id_col), "ids", *extra)
+    return rows.mapInArrow(freeing(encode), schema).select(F.col("id").alias(id_col), "ids", *extra)
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -379,7 +379,7 @@ def decode_ids(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col
 
     kind = encoded.schema[id_col].dataType.simpleString()
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(decode, f"id {kind}, text string").select(F.col("id").alias(id_col), "text")
+    return rows.mapInArrow(freeing(decode), f"id {kind}, text string").select(F.col("id").alias(id_col), "text")
 
 
 def roundtrip_digests(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -402,5 +402,5 @@ def roundtrip_digests(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(digest, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = rows.mapInArrow(freeing(digest), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.select(F.col("id").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256")

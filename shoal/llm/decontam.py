@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm.texts import normal
-from shoal.runtime import ship
+from shoal.runtime import freeing, ship
 
 #: Window, edit budget and q-gram length in bytes of the normal form.
 WINDOW, EDITS, Q = 72, 5, 10
 #: Bytes of benchmark text that one pass broadcasts; a larger benchmark is dealt over several passes.
 SLICE_BYTES = 8 << 20
 #: Bytes of document text scanned at once; bits of the first, inexact filter.
-SCAN_BYTES, FILTER_BITS = 1 << 22, 23
+SCAN_BYTES, FILTER_BITS = 1 << 20, 23
 #: Shared places handled at once; bytes of a piece of a text that repeats itself; alignments at once; rows between looks at who is over.
 PLACES, PIECE, ALIGNED, LOOK = 1 << 20, 1024, 1 << 14, 4
 #: Most windows that are first tested together; bits of a trigram set.
@@ -412,7 +412,7 @@ def find_leaks(
                         texts.append(normal(batch.column(1)[k].as_py()))
                         size += len(texts[-1])
 
-        part = rows.mapInArrow(scan, schema)
+        part = rows.mapInArrow(freeing(scan), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], schema)

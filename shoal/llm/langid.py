@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm.texts import held_out
-from shoal.runtime import ship
+from shoal.runtime import freeing, ship
 
 #: Cells that trigrams are hashed to; documents per language, as expected, that a model is fitted on.
 CELLS, SAMPLE_PER_LANGUAGE = 1 << 15, 2000
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array(blobs, pa.binary())], names=["lang", "counts"])
 
     counts: dict[str, np.ndarray] = {}
-    for r in sample.repartition(12).mapInArrow(count, "lang string, counts binary").collect():  # 12 tables a language
+    for r in sample.repartition(12).mapInArrow(freeing(count), "lang string, counts binary").collect():  # 12 tables a language
         own = counts.setdefault(r["lang"], np.zeros(CELLS, np.int64))
         own += np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     return LanguageModel.fit(counts)
@@ -154,5 +154,5 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)])
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([f"{c} {types[c]}" for c in ("id", *kept)] + ["lang_pred string", "score double", "mixture array<struct<lang:string,share:double>>"])
-    out = rows.mapInArrow(predict, schema)
+    out = rows.mapInArrow(freeing(predict), schema)
     return out.select(F.col("id").alias(id_col), "lang_pred", "score", "mixture", *[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)])

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoal.runtime import durable, ship
+from shoal.runtime import durable, freeing, ship
 
 #: Bits of a code and of a substring; rows and bytes that the rotation is learned from at most; steps of learning.
 BITS, SUBSTRING, SAMPLE, SAMPLE_BYTES, STEPS = 64, 8, 20_000, 64 << 20, 30
@@ -185,7 +185,7 @@ def nearest_neighbours(
                     radii, bounds = reaches(codes, ids, x, k, qid, q)
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(radii, pa.int32()), pa.array(bounds, pa.float64())], names=["id", "v", "copies", "radius", "bound"])
 
-        queries = durable(asked.mapInArrow(prepare, "id long, v array<double>, copies long, radius int, bound double"), "queries")
+        queries = durable(asked.mapInArrow(freeing(prepare), "id long, v array<double>, copies long, radius int, bound double"), "queries")
         slices = max(1, -(-queries.count() * (width + 64) // SLICE_BYTES))
         parts, before = [], 0
         for s in range(slices):
@@ -242,4 +242,4 @@ def search(rows: DataFrame, shared, queries: list, before: int, k: int) -> DataF
                 found = [pa.array(before + i), pa.array(qid[i]), pa.array(copies[i]), pa.array(ids[near], mask=missing[near]), pa.array(d)]
                 yield pa.RecordBatch.from_arrays(found, names=["q", "query_id", "copies", "id", "score"])
 
-    return rows.mapInArrow(find, "q long, query_id long, copies long, id long, score double")
+    return rows.mapInArrow(freeing(find), "q long, query_id long, copies long, id long, score double")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm.graph import connected_components
-from shoal.runtime import durable, release, ship
+from shoal.runtime import durable, freeing, release, ship
 
 #: Most fingerprints in a strip, and least if there are tasks enough; elements of one block of the comparison.
 STRIP, LEAST_STRIP, BLOCK = 1 << 19, 256, 1 << 18
@@ -109,7 +109,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(make, f"id {kind}, " + ", ".join(f"{x} long" for x in names))
+    return rows.mapInArrow(freeing(make), f"id {kind}, " + ", ".join(f"{x} long" for x in names))
 
 
 def merge_labels(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -234,7 +234,7 @@ def spanning_links(distinct: DataFrame, radius: int = 3, first_radius: int | Non
                 if len(child):
                     yield pa.RecordBatch.from_arrays([pa.array(keys[child]), pa.array(keys[parent])], names=["a", "b"])
 
-    out = durable(paired.mapInArrow(compare, "a long, b long"), "links")
+    out = durable(paired.mapInArrow(freeing(compare), "a long, b long"), "links")
     release(whole)
     return out
 
@@ -283,10 +283,10 @@ def similar_pairs(plausible: DataFrame, classes: DataFrame, texts: DataFrame, sh
             keep = pa.array([jaccard(a, b) >= least for a, b in zip(*sets, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    sets = durable(wanted.dropDuplicates(["k"]).mapInArrow(make, "k long, s binary"), "sets")
+    sets = durable(wanted.dropDuplicates(["k"]).mapInArrow(freeing(make), "k long, s binary"), "sets")
     left, right = (sets.select(F.col("k").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     ready = plausible.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    out = durable(ready.mapInArrow(compare, "a long, b long"), "similar")
+    out = durable(ready.mapInArrow(freeing(compare), "a long, b long"), "similar")
     release(sets)
     return out
 
@@ -325,7 +325,7 @@ def verified_groups(
     for seed in range(42, 50):
         # a class is a text, known by its hash; where two texts share that, another seed is taken
         texts = rows.select(F.xxhash64("text", F.lit(seed)).alias("k"), F.xxhash64("text", F.lit(-seed)).alias("k2"), "id", "text")
-        marked = durable(texts.mapInArrow(make, f"k long, k2 long, id {kind}, " + ", ".join(f"{x} long" for x in (*names, *held)) + ", q array<long>"), "fingerprints")
+        marked = durable(texts.mapInArrow(freeing(make), f"k long, k2 long, id {kind}, " + ", ".join(f"{x} long" for x in (*names, *held)) + ", q array<long>"), "fingerprints")
         classes = marked.groupBy("k").agg(F.min("id").alias("least"), (F.min("k2") == F.max("k2")).alias("one"), *[F.first(c).alias(c) for c in (*names, *held, "q")])
         classes = durable(classes, "classes")
         if classes.filter("not one").isEmpty():

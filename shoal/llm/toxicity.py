@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm.texts import held_out, normal
-from shoal.runtime import durable, release, ship
+from shoal.runtime import durable, freeing, release, ship
 
 #: Labelled documents that a model is fitted on, chosen by a hash of the id.
 SAMPLE = 20_000
@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             changed = pa.array([counterfactuals(t) for t in texts], pa.list_(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([batch.column(0), own, changed], names=["label", "cells", "changes"])
 
-    found = durable(chosen.mapInArrow(extract, "label int, cells array<int>, changes array<array<int>>"), "features")
+    found = durable(chosen.mapInArrow(freeing(extract), "label int, cells array<int>, changes array<array<int>>"), "features")
     n, t1 = found.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     drawn = found
     if n > sample:  # repeated ids in the table of documents
@@ -230,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     changed[-1].append((np.sign(x) * (at + 1))[at >= 0].astype("<i2").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(changed, pa.list_(pa.binary()))], names=["label", "cells", "changes"])
 
-    got = drawn.mapInArrow(place, "label int, cells binary, changes array<binary>").collect()  # two bytes a chosen feature
+    got = drawn.mapInArrow(freeing(place), "label int, cells binary, changes array<binary>").collect()  # two bytes a chosen feature
     release(found)
     got.sort(key=lambda r: (r["label"], bytes(r["cells"]), [bytes(x) for x in r["changes"]]))  # the same order whatever task came first
     read = lambda x: np.frombuffer(x, "<i2")
@@ -250,4 +250,4 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, score double").select(F.col("id").alias(id_col), "score")
+    return rows.mapInArrow(freeing(run), f"id {kind}, score double").select(F.col("id").alias(id_col), "score")
