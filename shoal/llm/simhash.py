@@ -8,8 +8,9 @@ links themselves, so a group of any size costs a row per member. A fingerprint t
 once for each strip: that is the square root of the number of tasks, until strips are full.
 
 ``verified_groups`` takes such links for candidates only. Those of the forest are held
-against the shingle sets of the two texts; then the strips are compared once more, and
-of the links between texts that are not joined yet every one is held against them. Parity
+against the shingle sets of the two texts. Then the strips are compared again for the nearest
+link between any two components, and a last time for every link between components
+that are apart still, so that no link is lost and no group is written out as pairs. Parity
 sketches of the sets, a small one inside the comparison and a larger one for the pairs that it
 finds, rule most false candidates out before any set is made.
 
@@ -76,10 +77,21 @@ def sketch(members: np.ndarray, words: int = SKETCH) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def least_apart(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """In how many members two sets differ at least, by their sizes and sketches."""
+    return np.maximum(np.bitwise_count((p ^ q).view(np.uint64)).sum(axis=1, dtype=np.int64), np.abs(n - m))
+
+
 def can_be_similar(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
     """False where sizes and sketches alone rule out a Jaccard similarity of ``least``; never where the sets have it."""
-    apart = np.maximum(np.bitwise_count((p ^ q).view(np.uint64)).sum(axis=1, dtype=np.int64), np.abs(n - m))
-    return apart * (1 + least) <= (1 - least) * (n + m) + 1e-6
+    return least_apart(n, m, p, q) * (1 + least) <= (1 - least) * (n + m) + 1e-6
+
+
+def nearest_of(groups: np.ndarray, apart: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the pairs (a, b) of each row of ``groups`` the places of the nearest; ties to the smaller numbers."""
+    order = np.lexsort((b, a, apart, groups[:, 1], groups[:, 0]))
+    g = groups[order]
+    return order[np.r_[True, (g[1:] != g[:-1]).any(axis=1)]] if len(order) else order
 
 
 def fingerprint(text: str | None, shingle: int = 3, seeds: tuple[int, ...] = (42,)) -> list[int]:
@@ -179,11 +191,14 @@ def strip_links(left: np.ndarray, right: np.ndarray | None, radius: int, first_r
                 yield order[a:b][i], other[c:d][j]
 
 
-def spanning_links(distinct: DataFrame, radius: int = 3, first_radius: int | None = None, apart: str | None = None, least: float | None = None) -> DataFrame:
+def spanning_links(
+    distinct: DataFrame, radius: int = 3, first_radius: int | None = None, apart: str | None = None, least: float | None = None, nearest: bool = False
+) -> DataFrame:
     """(a, b): row numbers ``k`` of ``distinct(k, f0[, f1])`` whose links connect all that lie within ``radius`` bits.
 
     With ``apart``, the name of a long column, these are not the links of a spanning forest
-    but all links between rows that differ in that column. With ``least``, links count only where
+    but all links between rows that differ in that column; with ``nearest``, of the links between rows of
+    two values only the nearest in a pair of strips. With ``least``, links count only where
     the sizes ``n`` and sketches ``p0``.. allow that similarity.
     """
     spark = distinct.sparkSession
@@ -224,6 +239,16 @@ def spanning_links(distinct: DataFrame, radius: int = 3, first_radius: int | Non
                             i, j = i[fits], j[fits]
                         yield i, j if same or apart else j + len(lk)
 
+                if nearest:
+                    held = np.empty((0, 5), np.int64)  # both groups, how far apart, both rows
+                    for i, j in links():
+                        gi, gj = lx[-1][i], rx[-1][j]
+                        held = np.concatenate([held, np.stack([np.minimum(gi, gj), np.maximum(gi, gj), least_apart(lx[0][i], rx[0][j], lp[i], rp[j]), lk[i], rk[j]], axis=1)])
+                        if len(i):
+                            held = held[nearest_of(held[:, :2], *held[:, 2:].T)]
+                    if len(held):
+                        yield pa.RecordBatch.from_arrays([pa.array(held[:, 3]), pa.array(held[:, 4])], names=["a", "b"])
+                    continue
                 if apart:
                     for i, j in links():
                         if len(i):
@@ -331,7 +356,8 @@ def verified_groups(
         if classes.filter("not one").isEmpty():
             break
         release(marked, classes)
-    candidates = plausible_pairs(spanning_links(classes.select("k", *names, *held), radius, first_radius, least=least), classes, least)
+    marks = classes.select("k", *names, *held)
+    candidates = plausible_pairs(spanning_links(marks, radius, first_radius, least=least), classes, least)
     sure = similar_pairs(candidates, classes, texts, shingle, least)
 
     def settle(*links: DataFrame) -> DataFrame:
@@ -341,18 +367,17 @@ def verified_groups(
             every = every.unionByName(more)
         return durable(classes.select("k").join(connected_components(every).withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("root", "k").alias("g")), "settled")
 
+    # then the nearest pair between any two components: where it holds, the others need no look
     settled = settle(sure)
-    rest = spanning_links(classes.select("k", *names, *held).join(settled, "k"), radius, first_radius, apart="g", least=least)
-    rest = plausible_pairs(rest, classes, least)
-    # of the pairs between two components the nearest first: where it holds, the others need no look
+    near = plausible_pairs(spanning_links(marks.join(settled, "k"), radius, first_radius, apart="g", least=least, nearest=True), classes, least)
     of = lambda c: settled.select(F.col("k").alias(c), F.col("g").alias(f"g{c}"))
-    between = rest.join(of("a"), "a").join(of("b"), "b")
-    nearest = between.groupBy(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h")).agg(F.min(F.struct("apart", "a", "b")).alias("p"))
-    first = similar_pairs(durable(nearest.select("p.a", "p.b"), "nearest"), classes, texts, shingle, least)
+    between = near.join(of("a"), "a").join(of("b"), "b").groupBy(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h"))
+    near = durable(between.agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b"), "nearest")
+    first = similar_pairs(near, classes, texts, shingle, least)
+    # and every pair between those that are apart still
     joined = settle(sure, first)
-    of = lambda c: joined.select(F.col("k").alias(c), F.col("g").alias(f"g{c}"))
-    left = durable(rest.join(of("a"), "a").join(of("b"), "b").filter("ga != gb").select("a", "b"), "left")
-    found = first.unionByName(similar_pairs(left, classes, texts, shingle, least))
+    rest = plausible_pairs(spanning_links(marks.join(joined, "k"), radius, first_radius, apart="g", least=least), classes, least)
+    found = first.unionByName(similar_pairs(rest, classes, texts, shingle, least))
     roots = connected_components(sure.unionByName(found)).withColumnRenamed("node", "k")
     linked = classes.select("k", "least").join(roots, "k")
     component = linked.select("k", "root").join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("k", "component")

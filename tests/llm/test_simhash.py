@@ -169,3 +169,10 @@ def test_texts_of_one_hash_stay_apart(spark, monkeypatch):
     monkeypatch.setattr(simhash.F, "xxhash64", poor)
     got = {r["doc_id"]: r["component_id"] for r in simhash.verified_groups(docs, 5, 0.8, 34, first_radius=20).collect()}
     assert got == {1: 1, 2: 2, 3: 2}
+
+
+def test_the_nearest_link_between_groups():
+    groups = np.array([[1, 2], [1, 2], [1, 3], [1, 2], [1, 3]])
+    apart, a, b = np.array([5, 3, 9, 3, 9]), np.array([10, 12, 7, 11, 7]), np.array([1, 1, 4, 9, 3])
+    assert sorted(simhash.nearest_of(groups, apart, a, b)) == [3, 4]
+    assert len(simhash.nearest_of(groups[:0], apart[:0], a[:0], b[:0])) == 0
