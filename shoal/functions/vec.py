@@ -121,12 +121,17 @@ def register_sql(spark: SparkSession) -> None:
         "CREATE OR REPLACE TEMPORARY FUNCTION euclidean_distance(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN "
         "CASE WHEN size(a) <> size(b) THEN double('infinity') ELSE sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x)) END"
     )
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION vector_norm(a ARRAY<DOUBLE>) RETURNS DOUBLE RETURN sqrt(aggregate(a, 0D, (s, x) -> s + x * x))"
+    )
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION unit_form(a ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN "
-        "transform(transform(a, x -> x - aggregate(a, 0D, (s, y) -> s + y) / size(a)), x -> x / greatest(1e-10D, "
-        "sqrt(aggregate(a, 0D, (s, y) -> s + power(y - aggregate(a, 0D, (t, z) -> t + z) / size(a), 2)))))"
+        "transform(transform(a, x -> x - aggregate(a, 0D, (s, y) -> s + y) / size(a)), x -> CASE WHEN "
+        f"sqrt(aggregate(a, 0D, (s, y) -> s + power(y - aggregate(a, 0D, (t, z) -> t + z) / size(a), 2))) < {EPS}D THEN 0D ELSE x / "
+        "sqrt(aggregate(a, 0D, (s, y) -> s + power(y - aggregate(a, 0D, (t, z) -> t + z) / size(a), 2))) END)"
     )
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION pearson_distance(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN "
-        "1D - greatest(-1D, least(1D, aggregate(zip_with(unit_form(a), unit_form(b), (x, y) -> x * y), 0D, (s, x) -> s + x)))"
+        f"CASE WHEN size(a) < 2 OR size(a) <> size(b) THEN least(euclidean_distance(a, b) / greatest(vector_norm(a), vector_norm(b), {EPS}D), 2D) "
+        "ELSE 1D - greatest(-1D, least(1D, aggregate(zip_with(unit_form(a), unit_form(b), (x, y) -> x * y), 0D, (s, x) -> s + x))) END"
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import fields
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from shoal.operators import kernel, sampling
 from shoal.operators.points import validate
 from shoal.plans.base import LOCAL_LIMIT, ClusterModel, fit, run_kernel
-from shoal.plans.config import ClusterConfig, ScalableConfig
+from shoal.plans.config import ClusterConfig, ScalableConfig, kept_points
 from shoal.runtime import durable, ship
 
 PARTIAL_SCHEMA = "part int, partial_id int, n_points long, mean array<double>, reps array<array<double>>, members array<long>"
@@ -80,6 +78,13 @@ def merge_partials(partials: DataFrame, config: ClusterConfig) -> DataFrame:
 def fit_partials(points: DataFrame, config: ScalableConfig) -> DataFrame:
     """The partial clusters of the sample, those of one point left out."""
     n, d = validate(points, config.k)
+    kept = kept_points(n, config.k, config.keep_fraction)
+    if kept < n:
+        # the points nearest to the centroid; their number is a share of all, so a threshold takes them, not a sort
+        near = sampling.by_nearness(points, d, config.metric)
+        limit = near.agg(F.percentile_approx("dist", kept / n, 1_000_000)).first()[0]
+        points = near.filter(F.col("dist") <= limit).drop("dist")
+        n = points.count()
     sample, order, s = draw_sample(points, n, d, config)
     parted = sampling.in_blocks(sample, order, s, config.n_partitions)
     target = max(config.k, s // config.n_partitions // config.reduce_factor)
@@ -99,14 +104,9 @@ def fit_scalable(points: DataFrame, config: ScalableConfig) -> ClusterModel:
     return ClusterModel(config, clusters, model.predict(points).select("point_id", "label"))
 
 
-def fit_any(points: DataFrame, config: ClusterConfig, limit: int = LOCAL_LIMIT, scalable: bool = False) -> ClusterModel:
-    """The base form up to ``limit`` points, the scalable one with the same parameters beyond or on demand."""
-    if scalable or points.count() > limit:
-        own = {f.name: getattr(config, f.name) for f in fields(ClusterConfig)}
-        return fit_scalable(points, config if isinstance(config, ScalableConfig) else ScalableConfig(**own))
-    return fit(points, config, limit)
-
-
 def fit_auto(points: DataFrame, k: int, c: int = 5, alpha: float = 0.3, scalable: bool = False, limit: int = LOCAL_LIMIT) -> ClusterModel:
-    """``fit_any`` by Euclidean distance with the usual parameters."""
-    return fit_any(points, ClusterConfig(k=k, c=c, alpha=alpha), limit, scalable)
+    """The one form that chooses by size: the base form up to ``limit`` points, the scalable one beyond or on demand, by Euclidean distance."""
+    config = ScalableConfig(k=k, c=c, alpha=alpha)
+    if scalable or points.count() > limit:
+        return fit_scalable(points, config)
+    return fit(points, ClusterConfig(k=k, c=c, alpha=alpha), limit)

@@ -376,7 +376,7 @@ def groups(points: DataFrame) -> int:
 @query
 def agglo_separable(spark, sf_dir):
     points = supplier_points(spark, sf_dir)
-    model = scalable.fit_any(points, ClusterConfig(k=groups(points), c=4))
+    model = base.fit(points, ClusterConfig(k=groups(points), c=4))
     return stats.labels_from_membership(model.labels.withColumnRenamed("label", "cluster_id"))
 
 
@@ -397,27 +397,27 @@ def distributed_separable(spark, sf_dir):
 
 @query
 def agglo_euclidean(spark, sf_dir):
-    return scalable.fit_any(embedding_points(spark, sf_dir), ClusterConfig(k=10)).labels
+    return base.fit(embedding_points(spark, sf_dir), ClusterConfig(k=10)).labels
 
 
 @query
 def agglo_pearson(spark, sf_dir):
-    return scalable.fit_any(embedding_points(spark, sf_dir), ClusterConfig(k=10, metric="pearson")).labels
+    return base.fit(embedding_points(spark, sf_dir), ClusterConfig(k=10, metric="pearson")).labels
 
 
 @query
 def agglo_pearson_medoid(spark, sf_dir):
-    return base.standardized_fit(embedding_points(spark, sf_dir), ClusterConfig(k=10, metric="pearson", center="medoid"), scalable.fit_any).labels
+    return base.standardized_fit(embedding_points(spark, sf_dir), ClusterConfig(k=10, metric="pearson", center="medoid")).labels
 
 
 @query
 def agglo_all_points(spark, sf_dir):
-    return scalable.fit_any(embedding_points(spark, sf_dir), ClusterConfig(k=10, metric="pearson", candidates="all_points")).labels
+    return base.fit(embedding_points(spark, sf_dir), ClusterConfig(k=10, metric="pearson", candidates="all_points")).labels
 
 
 @query
 def agglo_sampled(spark, sf_dir):
-    return scalable.fit_any(embedding_points(spark, sf_dir), ClusterConfig(k=10, keep_fraction=0.5)).labels
+    return base.fit(embedding_points(spark, sf_dir), ClusterConfig(k=10, keep_fraction=0.5)).labels
 
 
 @query
@@ -468,7 +468,7 @@ def mr_label(spark, sf_dir):
 @query
 def representatives(spark, sf_dir):
     points = supplier_points(spark, sf_dir)
-    reps = scalable.fit_any(points, ClusterConfig(k=groups(points), c=4)).representatives
+    reps = base.fit(points, ClusterConfig(k=groups(points), c=4)).representatives
     return reps.select("label", F.col("rep_idx").cast("long").alias("rep_idx"), r6(F.col("rep")[0]).alias("x"), r6(F.col("rep")[1]).alias("y"))
 
 

@@ -136,3 +136,41 @@ def test_a_stream_is_labelled_like_a_table(spark, tmp_path):
     write_labels(stream, model, str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     got = {r["point_id"]: r["label"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {r["point_id"]: r["label"] for r in model.predict(p).collect()}
+
+
+def test_scattered_points_by_definition():
+    rng = np.random.default_rng(3)
+    for metric in ("euclidean", "pearson"):
+        x = rng.normal(size=(40, 5))
+        got = kernel.scattered(x, x.mean(axis=0), 6, metric)
+        apart = lambda a, b: float(kernel.distances(a[None, :], b[None, :], metric)[0, 0])  # noqa: E731, B023
+        want = [max(range(40), key=lambda i: apart(x[i], x.mean(axis=0)))]  # noqa: B023
+        while len(want) < 6:
+            want.append(max((i for i in range(40) if i not in want), key=lambda i: min(apart(x[i], x[j]) for j in want)))  # noqa: B023
+        assert got.tolist() == want
+    assert kernel.scattered(np.ones((4, 2)), np.ones(2), 3, "euclidean").tolist() == [0]
+
+
+def test_two_summaries_as_one():
+    config = ClusterConfig(k=1, c=2, alpha=0.5)
+    n, mean, reps = distributed.merge_summaries((3, [0.0, 0.0], [[1.0, 0.0], [0.0, 1.0]]), (1, [8.0, 0.0], [[9.0, 0.0]]), config)
+    assert n == 4 and mean.tolist() == [2.0, 0.0]
+    # the farthest from the mean, then the farthest from it, each halfway to the mean
+    assert reps.tolist() == [[5.5, 0.0], [1.0, 0.5]]
+
+
+def test_the_scalable_form_honours_the_kept_share(spark):
+    """Far points are left out of the sample, whatever the form, and are labelled all the same."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 0.1, (60, 2)), rng.normal(0, 0.1, (60, 2)) + [2.0, 0.0], rng.normal(0, 0.1, (10, 2)) + [500.0, 500.0]])
+    table = points(spark, x)
+    for model in (base.fit(table, ClusterConfig(k=2, c=3, keep_fraction=0.9)), scalable.fit_scalable(table, ScalableConfig(k=2, c=3, keep_fraction=0.9, sample_size=1.0, n_partitions=2, outlier_threshold=1))):
+        assert max(abs(v) for r in model.representatives.collect() for v in r["rep"]) < 100
+        assert model.labels.count() == len(x)
+
+
+def test_the_base_form_refuses_what_it_cannot_hold(spark):
+    table = points(spark, np.random.default_rng(5).normal(size=(50, 2)))
+    with pytest.raises(ValueError, match="limit"):
+        base.fit(table, ClusterConfig(k=2), limit=20)
+    assert base.fit(table, ClusterConfig(k=2, keep_fraction=0.4), limit=20).labels.count() == 50

@@ -58,3 +58,13 @@ def test_sql_functions(spark):
     vec.register_sql(spark)
     r = spark.sql("SELECT euclidean_distance(array(0D, 0D), array(3D, 4D)) a, pearson_distance(array(1D, 2D, 3D), array(3D, 2D, 1D)) b").first()
     assert r["a"] == 5 and r["b"] == pytest.approx(2)
+
+
+def test_sql_functions_agree_with_columns(spark):
+    """Also below two components, at unequal lengths and for flat vectors."""
+    vec.register_sql(spark)
+    rows = [([1.0, 2.0, 4.0], [2.0, 1.0, 0.5]), ([3.0], [4.0]), ([0.0], [0.0]), ([], []), ([1.0, 2.0], [1.0, 2.0, 3.0]), ([5.0, 5.0], [1.0, 2.0]), ([1e-12, 0.0], [1.0, 2.0])]
+    frame = spark.createDataFrame(rows, "a array<double>, b array<double>")
+    got = frame.select(vec.pearson("a", "b").alias("x"), F.expr("pearson_distance(a, b)").alias("y"), vec.euclidean("a", "b").alias("e"), F.expr("euclidean_distance(a, b)").alias("f")).collect()
+    for r in got:
+        assert r["x"] == pytest.approx(r["y"], abs=1e-12) and r["e"] == r["f"]
