@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions import vec
 from shoal.operators import kernel
 from shoal.operators.stats import contingency, mean_vector, sorted_sizes, sum_vector
+from shoal.runtime import durable, ship
 
 
 def pairs_of(n: Column) -> Column:
@@ -112,36 +116,52 @@ def silhouette_pearson(points: DataFrame, d: int, label: str) -> DataFrame:
     return scored.select("point_id", F.when(F.col("n") <= 1, 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))).alias("s"))
 
 
-#: Points of a stratified sample that a quadratic silhouette compares.
-MOST_COMPARED = 5000
+#: Points of a block; a task holds two blocks, and the distances of STRIP points to one of them.
+BLOCK, STRIP = 4096, 512
 
 
 def silhouette_euclidean(points: DataFrame, label: str) -> DataFrame:
-    """(point_id, s) over at most about MOST_COMPARED points; take ``sampling.stratified`` first where there are more."""
-    rows = points.select("point_id", "features", F.col(label).alias("l")).orderBy("point_id").limit(2 * MOST_COMPARED + 1).collect()
-    if len(rows) > 2 * MOST_COMPARED:
-        raise ValueError("sample the points first")
+    """(point_id, s): silhouette of every point against all points.
+
+    Quadratic by the nature of the measure: points are packed in blocks by hash of the id, every block meets
+    every block, and a sum of distances per cluster leaves a task for each point. 0 for clusters of one point,
+    null where there is one cluster only; take ``sampling.stratified`` first where all pairs are too many.
+    """
     spark = points.sparkSession
-    if not rows:
-        return spark.createDataFrame([], "point_id long, s double")
-    x = np.array([r["features"] for r in rows])
-    values, at = np.unique([r["l"] for r in rows], return_inverse=True)
-    n = np.bincount(at)
-    hot = np.eye(len(values))[at]
-    s = np.zeros(len(x))
-    for i in range(0, len(x), 512):
-        sums = kernel.distances(x[i : i + 512], x, "euclidean")
-        sums[np.arange(len(sums)), np.arange(i, i + len(sums))] = 0.0
-        sums = sums @ hot
-        own = at[i : i + 512]
-        r = np.arange(len(sums))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            a = sums[r, own] / (n[own] - 1)
-            other = sums / n
-            other[r, own] = np.inf
-            b = other.min(axis=1)
-            s[i : i + 512] = np.where(n[own] > 1, (b - a) / np.maximum(a, b), 0.0)
-    return spark.createDataFrame([(r["point_id"], float(v)) for r, v in zip(rows, s, strict=True)], "point_id long, s double")
+    ship(spark)
+    rows = points.select("point_id", F.col(label).alias("l"), "features")
+    sizes = sorted(((r["l"], r["n"]) for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()), key=lambda r: (r[0] is not None, r[0]))  # a row per cluster
+    if not sizes:
+        return spark.createDataFrame([], rows.select("point_id", F.lit(0.0).alias("s")).schema)
+    k, blocks = len(sizes), -(-sum(n for _, n in sizes) // BLOCK)
+    codes = spark.createDataFrame([(v, i) for i, (v, _) in enumerate(sizes)], f"l {rows.schema['l'].dataType.simpleString()}, at int")
+    coded = rows.alias("r").join(codes.alias("c"), F.col("r.l").eqNullSafe(F.col("c.l"))).select("point_id", "features", "at")
+    packed = coded.groupBy(F.pmod(F.xxhash64("point_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("point_id", "at", "features")).alias("p"))
+    packed = durable(packed.select("block", F.col("p.point_id").alias("ids"), F.col("p.at").alias("at"), F.flatten("p.features").alias("x")), "blocks")
+    asked = packed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"), "block", "ids", "at", "x")
+    pairs = asked.join(packed.select(F.col("block").alias("other"), F.col("at").alias("other_at"), F.col("x").alias("other_x")), "other")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                x, y = np.asarray(r.x).reshape(len(r.ids), -1), np.asarray(r.other_x).reshape(len(r.other_at), -1)
+                hot = np.eye(k)[np.asarray(r.other_at)]
+                sums = np.empty((len(x), k))
+                for i in range(0, len(x), STRIP):
+                    far = kernel.distances(x[i : i + STRIP], y, "euclidean")
+                    if r.block == r.other:
+                        far[np.arange(len(far)), np.arange(i, i + len(far))] = 0.0
+                    sums[i : i + STRIP] = far @ hot
+                yield pd.DataFrame({"block": np.int32(r.block), "place": np.arange(len(x), dtype=np.int32), "point_id": r.ids, "at": r.at, "sums": list(sums)})
+
+    id_type = rows.schema["point_id"].dataType.simpleString()
+    parts = pairs.mapInPandas(run, f"block int, place int, point_id {id_type}, at int, sums array<double>")
+    n = F.array(*[F.lit(float(c)) for _, c in sizes])
+    near = parts.groupBy("block", "place", "point_id", "at").agg(sum_vector(k, "sums").alias("sums")).withColumn("n", n)
+    others = F.transform("sums", lambda s, i: F.when(i != F.col("at"), s / F.get(F.col("n"), i)))
+    own = F.get(F.col("n"), F.col("at"))
+    scored = near.select("point_id", own.alias("own"), F.try_divide(F.get(F.col("sums"), F.col("at")), own - 1).alias("a"), F.array_min(others).alias("b"))
+    return scored.select("point_id", F.when(F.col("own") <= 1, 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))).alias("s"))
 
 
 def scatter(points: DataFrame, d: int, label: str, metric: str) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions import vec
@@ -28,9 +28,14 @@ def keep_fraction(points: DataFrame, d: int, k: int, fraction: float, metric: st
     return points if kept >= n else nearest_to_centroid(points, d, kept, metric)
 
 
+def shuffled(seed: int) -> Column:
+    """A key that puts ids in a random order; the MD5 of ``id:seed``, so that any engine gives the same order."""
+    return F.md5(F.concat_ws(":", F.col("point_id").cast("string"), F.lit(str(seed))))
+
+
 def random_sample(points: DataFrame, n: int, seed: int) -> DataFrame:
     """Exactly ``n`` points (all, if fewer), the same for every layout of the input."""
-    return points.withColumn("order_key", F.xxhash64("point_id", F.lit(seed))).orderBy("order_key", "point_id").limit(n)
+    return points.withColumn("order_key", shuffled(seed)).orderBy("order_key", "point_id").limit(n)
 
 
 def in_blocks(sample: DataFrame, order: list[str], size: int, parts: int) -> DataFrame:
@@ -71,7 +76,7 @@ def stratified(points: DataFrame, label: str, n: int, seed: int = 42) -> DataFra
     sizes = points.groupBy(label).agg(F.count("*").alias("rows"))
     whole = sizes.agg(F.sum("rows").alias("whole"))
     quota = sizes.crossJoin(F.broadcast(whole)).select(label, F.greatest(F.lit(1).cast("long"), F.ceil(F.col("rows") * F.lit(n) / F.col("whole"))).alias("quota"))  # one row
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64("point_id", F.lit(seed)), "point_id"))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(shuffled(seed), "point_id"))
     return points.withColumn("rank", rank).join(F.broadcast(quota), label).filter(F.col("rank") <= F.col("quota")).drop("rank", "quota")
 
 
@@ -79,5 +84,5 @@ def trim_partitions_random(points: DataFrame, part: str, most: int, seed: int =
     """In partitions of more than ``most`` rows (if above 0), the ``most`` of the lowest hash."""
     if most <= 0:
         return points
-    rank = F.row_number().over(Window.partitionBy(part).orderBy(F.xxhash64("point_id", F.lit(seed)), "point_id"))
+    rank = F.row_number().over(Window.partitionBy(part).orderBy(shuffled(seed), "point_id"))
     return points.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")

@@ -104,6 +104,17 @@ SELECT true_label, medoid_id, total FROM (SELECT l AS true_label, point_id AS me
     "sample_size_auto": "SELECT n, least(n, least(15000, greatest(500, floor(50 * pow(n, 0.33) + 0.5))))::BIGINT AS sampled FROM (SELECT count(*) AS n FROM lineitem)",
     "sample_size_modes": """WITH o AS (SELECT count(*) AS n FROM orders) SELECT 'fraction' AS mode, n, least(n, 15000, greatest(50, 500, floor(n * 0.1::DOUBLE)))::BIGINT AS sampled FROM o
 UNION ALL SELECT 'small_fraction', n, least(n, 15000, greatest(50, 500, floor(n * 0.001::DOUBLE)))::BIGINT FROM o UNION ALL SELECT 'number', n, least(n, 700) FROM o UNION ALL SELECT 'small_number', n, least(n, 500) FROM o""",
+    "random_sample_n": f"WITH {EMB} SELECT point_id FROM emb ORDER BY md5(point_id || ':42'), point_id LIMIT 100",
+    "stratified_sample": f"""WITH {EMB} SELECT point_id, l AS true_label FROM (SELECT point_id, l, row_number() OVER (PARTITION BY l ORDER BY md5(point_id || ':42'), point_id) AS r,
+        count(*) OVER (PARTITION BY l) AS n, count(*) OVER () AS whole FROM emb) WHERE r <= greatest(1, ceil(n * 100.0::DOUBLE / whole))""",
+    "accuracy_greedy": f"""WITH RECURSIVE {EMB}, {CEN}, {ASSIGN}, {CONT}, g AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS ul, []::BIGINT[] AS ub UNION ALL
+        (SELECT c.n, list_append(ul, c.l::BIGINT), list_append(ub, c.label::BIGINT) FROM g, ct c WHERE NOT list_contains(ul, c.l::BIGINT) AND NOT list_contains(ub, c.label::BIGINT) ORDER BY c.n DESC, c.l, c.label LIMIT 1))
+        SELECT sum(n)::DOUBLE / (SELECT sum(n) FROM ct)::DOUBLE AS accuracy FROM g""",
+    "accuracy_majority": f"""WITH RECURSIVE {EMB}, {CEN}, {ASSIGN}, {CONT}, grid AS (SELECT b.label::BIGINT AS label, coalesce(ct.n, 0)::BIGINT AS n, dense_rank() OVER (ORDER BY t.l) AS i
+            FROM (SELECT DISTINCT l FROM ct) t CROSS JOIN (SELECT DISTINCT label FROM ct) b LEFT JOIN ct ON ct.l = t.l AND ct.label = b.label),
+        g AS (SELECT 0::BIGINT AS i, 0::BIGINT AS n, []::BIGINT[] AS used UNION ALL
+        (SELECT grid.i, grid.n, list_append(used, grid.label) FROM g, grid WHERE grid.i = g.i + 1 AND NOT list_contains(used, grid.label) ORDER BY grid.n DESC, grid.label LIMIT 1))
+        SELECT sum(n)::DOUBLE / (SELECT sum(n) FROM ct)::DOUBLE AS accuracy FROM g""",
     "partition_sample": f"WITH {EMB}, {GLOBAL} SELECT point_id, least((r - 1) // 40, 4)::INT AS part FROM (SELECT point_id, row_number() OVER (ORDER BY list_distance(f, mean), point_id) AS r FROM emb, gmean) WHERE r <= 203",
     "partition_trim": f"WITH {EMB}, {POS}, {TRIM} SELECT part::INT AS part, point_id, round(d, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY d, point_id) AS r FROM pd) WHERE r <= 30",
     "partition_trim_fraction": f"WITH {EMB}, {POS}, {TRIM} SELECT part::INT AS part, point_id, round(d, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY d, point_id) AS r FROM pd) WHERE r <= greatest(5, floor(n * 0.3::DOUBLE))",

@@ -510,10 +510,25 @@ def merge_two_clusters(spark, sf_dir):
 
 @query
 def merge_summaries(spark, sf_dir):
-    """Weighted mean of the summaries of every four labels."""
+    """The summaries of every four labels, joined one after the other: size and mean."""
     e, d = emb(spark, sf_dir)
-    fours = stats.centroids(e, d).withColumn("four", F.floor(F.col("true_label") / 4).cast("int"))
-    return long_vectors(stats.weighted_merge(fours, d, "four"), ["four", "n"], F.col("mean"))
+    ship(spark)
+    reps = label_reps(spark, sf_dir).groupBy(F.col("cluster_id").alias("true_label")).agg(F.array_sort(F.collect_list("rep")).alias("reps"))
+    summaries = stats.centroids(e, d).join(reps, "true_label").withColumn("four", F.floor(F.col("true_label") / 4).cast("int"))
+
+    def run(f):
+        import functools
+
+        import numpy as np
+        import pandas as pd
+
+        f = f.sort_values("true_label", kind="stable")
+        parts = [(int(r.n), np.asarray(r.mean), np.stack(r.reps)) for r in f.itertuples(index=False)]
+        n, mean, _ = functools.reduce(lambda a, b: distributed.merge_summaries(a, b, ClusterConfig(k=1)), parts)
+        return pd.DataFrame({"four": [int(f["four"].iloc[0])], "n": [n], "mean": [list(mean)]})
+
+    joined = summaries.groupBy("four").applyInPandas(run, "four int, n long, mean array<double>")  # four rows a group
+    return long_vectors(joined, ["four", "n"], F.col("mean"))
 
 
 @query
@@ -613,8 +628,7 @@ def silhouette_pearson(spark, sf_dir):
 
 @query
 def silhouette_euclidean(spark, sf_dir):
-    sample = sampling.stratified(assigned(spark, sf_dir), "label", evaluate.MOST_COMPARED)
-    return evaluate.silhouette_euclidean(sample, "label").select("point_id", r6("s").alias("s"))
+    return evaluate.silhouette_euclidean(assigned(spark, sf_dir), "label").select("point_id", r6("s").alias("s"))
 
 
 @query

@@ -86,6 +86,20 @@ def test_random_sample_does_not_depend_on_layout(spark):
     assert a == {r["point_id"] for r in sampling.random_sample(p.repartition(7), 30, 1).collect()} and len(a) == 30
 
 
+def test_silhouette_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(90, 3))
+    p = points(spark, x, rng.integers(0, 4, 90))
+    whole = {r["point_id"]: r["s"] for r in evaluate.silhouette_euclidean(p, "true_label").collect()}
+    monkeypatch.setattr(evaluate, "BLOCK", 20)
+    monkeypatch.setattr(evaluate, "STRIP", 7)
+    blocks = {r["point_id"]: r["s"] for r in evaluate.silhouette_euclidean(p, "true_label").collect()}
+    assert len(whole) == 90 and whole == pytest.approx(blocks, abs=1e-9)
+    one = evaluate.silhouette_euclidean(p.withColumn("true_label", F.lit(1)), "true_label").collect()
+    assert len(one) == 90 and all(r["s"] is None for r in one)
+    assert evaluate.silhouette_euclidean(p.limit(0), "true_label").count() == 0
+
+
 @pytest.mark.parametrize("metric", ["euclidean", "pearson"])
 def test_silhouette_against_brute_force(spark, metric):
     rng = np.random.default_rng(8)
