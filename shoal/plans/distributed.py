@@ -20,30 +20,32 @@ def with_splits(points: DataFrame, splits: int) -> DataFrame:
     return points.withColumn("part", F.pmod("point_id", F.lit(splits)).cast("int"))
 
 
-def map_partials(parted: DataFrame, config: ClusterConfig, target: int, most: int, d: int, seed: int = 42) -> DataFrame:
-    """Each split trimmed to ``most`` points and merged down to ``target`` clusters.
+def trimmed(parted: DataFrame, near: bool, most: int, d: int, metric: str, seed: int = 42) -> DataFrame:
+    """Each split cut down to ``most`` points: those nearest to the split's own mean, or those of the lowest hash."""
+    if near:
+        return sampling.trim_partitions(parted, d, "part", most, metric)
+    return sampling.trim_partitions_random(parted, "part", most, seed)
+
+
+def map_split(frame: pd.DataFrame, config: ClusterConfig, target: int) -> pd.DataFrame:
+    """One split merged down to ``target`` clusters; with a keep fraction, of the points nearest to its mean."""
+    part = np.int32(frame["part"].iloc[0])
+    keep = kept_points(len(frame), config.k, config.keep_fraction)
+    if keep < len(frame):
+        frame = frame.sort_values("point_id", kind="stable")
+        x = np.array(frame["features"].tolist(), dtype=float)
+        near = kernel.distances(x, x.mean(axis=0)[None, :], config.metric)[:, 0]
+        frame = frame.iloc[np.sort(np.lexsort((frame["point_id"].to_numpy(), near))[:keep])]
+    got = run_kernel(frame, config, min(target, len(frame)))
+    got.insert(0, "part", part)
+    return got.rename(columns={"cluster_id": "partial_id"})
 
-    With a keep fraction the points nearest to the split's own mean stay, else those of the lowest hash.
-    """
-    ship(parted.sparkSession)
-    if config.keep_fraction > 0:
-        trimmed = sampling.trim_partitions(parted, d, "part", most, config.metric)
-    else:
-        trimmed = sampling.trim_partitions_random(parted, "part", most, seed)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        part = np.int32(frame["part"].iloc[0])
-        keep = kept_points(len(frame), config.k, config.keep_fraction)
-        if keep < len(frame):
-            frame = frame.sort_values("point_id", kind="stable")
-            x = np.array(frame["features"].tolist(), dtype=float)
-            near = kernel.distances(x, x.mean(axis=0)[None, :], config.metric)[:, 0]
-            frame = frame.iloc[np.sort(np.lexsort((frame["point_id"].to_numpy(), near))[:keep])]
-        got = run_kernel(frame, config, min(target, len(frame)))
-        got.insert(0, "part", part)
-        return got.rename(columns={"cluster_id": "partial_id"})
 
-    return trimmed.select("part", "point_id", "features").groupBy("part").applyInPandas(run, PARTIAL_SCHEMA)
+def map_partials(parted: DataFrame, config: ClusterConfig, target: int, most: int, d: int, seed: int = 42) -> DataFrame:
+    """Each split trimmed to ``most`` points (by nearness with a keep fraction) and merged down to ``target`` clusters."""
+    ship(parted.sparkSession)
+    rows = trimmed(parted, config.keep_fraction > 0, most, d, config.metric, seed).select("part", "point_id", "features")
+    return rows.groupBy("part").applyInPandas(lambda f: map_split(f, config, target), PARTIAL_SCHEMA)
 
 
 def merge_summaries(a: tuple, b: tuple, config: ClusterConfig) -> tuple[int, np.ndarray, np.ndarray]:

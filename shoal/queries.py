@@ -664,14 +664,16 @@ ALPHAS = [round(0.2 + 0.05 * i, 2) for i in range(11)]
 
 @query
 def sweep_alpha(spark, sf_dir):
-    rows = durable(sampling.random_sample(rfm_points(spark, sf_dir), 500, 42), "sweep")
-    return sweep.sweep(rows, ClusterConfig(k=4, metric="pearson"), [(a, 0.0) for a in ALPHAS])
+    """The scalable form for every alpha; each setting labels all customers."""
+    points = durable(rfm_points(spark, sf_dir), "rfm")
+    return sweep.sweep_scalable(points, ScalableConfig(k=4, metric="pearson", sample_size_auto=True), ALPHAS)
 
 
 @query
 def sweep_fraction(spark, sf_dir):
-    rows = durable(sampling.random_sample(rfm_points(spark, sf_dir), 500, 42), "sweep")
-    return sweep.sweep(rows, ClusterConfig(k=4, metric="pearson"), [(0.5, round(0.1 * i, 1)) for i in range(11)])
+    """The distributed form for every keep fraction; each setting labels all customers."""
+    points = durable(rfm_points(spark, sf_dir), "rfm")
+    return sweep.sweep_distributed(points, ClusterConfig(k=4, alpha=0.5, metric="pearson"), [round(0.1 * i, 1) for i in range(11)], splits=8, most=500, reduce_factor=25)
 
 
 @query

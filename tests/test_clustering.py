@@ -174,3 +174,20 @@ def test_the_base_form_refuses_what_it_cannot_hold(spark):
     with pytest.raises(ValueError, match="limit"):
         base.fit(table, ClusterConfig(k=2), limit=20)
     assert base.fit(table, ClusterConfig(k=2, keep_fraction=0.4), limit=20).labels.count() == 50
+
+
+def sizes_of(model):
+    return sorted((r["count"] for r in model.labels.groupBy("label").count().collect()), reverse=True)
+
+
+def test_sweeps_give_what_single_fits_give(spark):
+    rng = np.random.default_rng(21)
+    p = points(spark, rng.normal(size=(400, 3)) + rng.integers(0, 3, (400, 1)) * 6)
+    config = ScalableConfig(k=3, c=4, sample_size=0.5, n_partitions=2, outlier_threshold=1)
+    for r in sweep.sweep_scalable(p, config, [0.2, 0.7]).collect():
+        want = sizes_of(scalable.fit_scalable(p, config.with_(alpha=r["alpha"])))
+        assert (r["n"], r["largest"]) == (400, want[0]) and r["tau"] == pytest.approx(sum(want[:2]) / 400)
+    plan = ClusterConfig(k=3, c=4, alpha=0.5)
+    for r in sweep.sweep_distributed(p, plan, [0.0, 0.6], splits=2, most=60, reduce_factor=5).collect():
+        want = sizes_of(distributed.fit_distributed(p, plan.with_(keep_fraction=r["keep_fraction"]), splits=2, most=60, reduce_factor=5))
+        assert (r["n"], r["largest"]) == (400, want[0]) and r["tau"] == pytest.approx(sum(want[:2]) / 400)
