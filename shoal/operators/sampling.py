@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions import vec
 from shoal.operators.stats import centroid, mean_vector
 from shoal.plans.config import kept_points
+from shoal.runtime import durable
 
 
 def by_nearness(points: DataFrame, d: int, metric: str = "euclidean") -> DataFrame:
@@ -86,3 +89,23 @@ def trim_partitions_random(points: DataFrame, part: str, most: int, seed: int =
         return points
     rank = F.row_number().over(Window.partitionBy(part).orderBy(shuffled(seed), "point_id"))
     return points.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+
+
+def scattered(points: DataFrame, group: str, d: int, c: int) -> DataFrame:
+    """(group, place, point_id, features): up to ``c`` scattered points of every group, of any size.
+
+    The first is the farthest from the group's mean, the next always the farthest from those chosen; ties go to the
+    smaller id, and of equal points one is taken. Each place is one pass and one aggregate that combines where the
+    points lie, so no group meets in a task.
+    """
+    means = points.groupBy(group).agg(mean_vector(d).alias("mean"))
+    rows = points.select(group, "point_id", "features").join(means, group).withColumn("far", vec.euclidean("features", "mean", d)).drop("mean")
+    places = []
+    for i in range(c):
+        open_ = rows.filter("far > 0") if i else rows
+        best = open_.groupBy(group).agg(F.min(F.struct((-F.round("far", 6)).alias("m"), "point_id", "features")).alias("b"))
+        places.append(durable(best.select(group, F.lit(i).cast("long").alias("place"), F.col("b.point_id").alias("point_id"), F.col("b.features").alias("features")), "scattered"))
+        step = vec.euclidean("features", "chosen", d)
+        rows = rows.join(places[i].select(group, F.col("features").alias("chosen")), group)
+        rows = rows.withColumn("far", F.least("far", step) if i else step).drop("chosen")
+    return functools.reduce(DataFrame.unionByName, places)

@@ -474,17 +474,9 @@ def representatives(spark, sf_dir):
 
 @query
 def scattered_points(spark, sf_dir):
-    """Three scattered parts of each brand: the farthest from the brand's mean, then twice the farthest from those chosen."""
+    """Three scattered parts of each brand."""
     p = part_points(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("point_id"), "p_brand"), "point_id")
-    far = lambda rows, d: rows.groupBy("p_brand").agg(F.min(F.struct((-F.round(d, 6)).alias("m"), "point_id", "features")).alias("b")).select("p_brand", F.col("b.point_id").alias("point_id"), F.col("b.features").alias("f"))
-    means = p.groupBy("p_brand").agg(stats.mean_vector(2).alias("mean"))
-    first = far(p.join(means, "p_brand"), vec.euclidean("features", "mean", 2))
-    d1 = p.join(first.select("p_brand", F.col("f").alias("f1")), "p_brand").withColumn("d1", vec.euclidean("features", "f1", 2))
-    second = far(d1, F.col("d1"))
-    d2 = d1.join(second.select("p_brand", F.col("f").alias("f2")), "p_brand").withColumn("d2", F.least("d1", vec.euclidean("features", "f2", 2)))
-    third = far(d2, F.col("d2"))
-    out = [t.select("p_brand", F.lit(i).cast("long").alias("place"), "point_id") for i, t in enumerate((first, second, third))]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return sampling.scattered(p, "p_brand", 2, 3).select("p_brand", "place", "point_id")
 
 
 @query

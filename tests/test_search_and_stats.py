@@ -153,3 +153,18 @@ def test_outlier_rule_fills_up(spark):
     t = spark.createDataFrame([(0, 9), (1, 3), (2, 2), (3, 1)], "cluster_id int, size long")
     assert {r["cluster_id"] for r in sampling.eliminate_outliers(t, 3, 5).collect()} == {0, 1, 2}
     assert sampling.eliminate_outliers(t, 1, 5).select(F.count("*")).first()[0] == 1
+
+
+def test_scattered_points_as_the_kernel_takes_them(spark):
+    rng = np.random.default_rng(31)
+    x = np.round(rng.normal(size=(60, 3)), 3)
+    labels = np.arange(60) % 3
+    x[labels == 2] = x[2]  # one point many times
+    x[5] = x[2] + 1.0
+    got = {}
+    for r in sorted(sampling.scattered(points(spark, x, labels), "true_label", 3, 4).collect(), key=lambda r: r["place"]):
+        got.setdefault(r["true_label"], []).append(r["point_id"])
+    for label in range(3):
+        own = np.flatnonzero(labels == label)
+        assert got[label] == own[kernel.scattered(x[own], x[own].mean(axis=0), 4, "euclidean")].tolist()
+    assert len(got[2]) == 2
