@@ -1,11 +1,15 @@
 """The merge kernel against a plain one, and the plans on groups that are clear."""
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from shoal import oracle, queries
 from shoal.operators import kernel
 from shoal.plans import base, distributed, scalable, sweep
 from shoal.plans.config import ClusterConfig, ScalableConfig, kept_points
+from tests.test_contract import same
 from tests.test_search_and_stats import points
 
 
@@ -284,3 +288,24 @@ def test_base_queries_over_more_than_5000_points(spark, large, name):
     assert len(got) == 5200
     if name != "agglo_sampled":  # the nearer half to the centroid need not hold every group
         assert partition({r["point_id"]: r["label"] for r in got}) == want
+
+
+@pytest.fixture(scope="session")
+def repeated(spark, tmp_path_factory):
+    """6,000 suppliers: those of sf0.01 sixty times, with shifted keys."""
+    at = str(tmp_path_factory.mktemp("repeated"))
+    one = spark.read.parquet("/root/testdata/sf0.01/supplier.parquet")
+    copies = one.crossJoin(spark.range(60).withColumnRenamed("id", "copy")).withColumn("s_suppkey", F.col("s_suppkey") + F.col("copy") * 1000)
+    copies.drop("copy").write.parquet(f"{at}/supplier.parquet")
+    return at
+
+
+def by_sql(at, sql):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{at}/supplier.parquet/*.parquet'")
+    return con.execute(sql).df()
+
+
+def test_repeated_suppliers_against_sql(spark, repeated):
+    got = queries.REGISTRY["agglo_separable"](spark, repeated).toPandas()
+    same(got, by_sql(repeated, oracle.SQL["agglo_separable"]))
