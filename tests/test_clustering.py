@@ -309,3 +309,14 @@ def by_sql(at, sql):
 def test_repeated_suppliers_against_sql(spark, repeated):
     got = queries.REGISTRY["agglo_separable"](spark, repeated).toPandas()
     same(got, by_sql(repeated, oracle.SQL["agglo_separable"]))
+
+
+def test_representatives_of_repeated_suppliers(spark, repeated):
+    """Of each nation, by its least key: both ends, moved by 0.3 towards its mean, are among up to four."""
+    got = queries.REGISTRY["representatives"](spark, repeated).toPandas()
+    want = by_sql(repeated, "SELECT s_nationkey * 1000.0 AS x, min(s_acctbal) / 1e4 AS low, max(s_acctbal) / 1e4 AS high, avg(s_acctbal) / 1e4 AS mean FROM supplier GROUP BY s_nationkey ORDER BY min(s_suppkey)")
+    assert sorted(got["label"].unique()) == list(range(len(want)))
+    for label, w in want.iterrows():
+        own = got[got["label"] == label]
+        assert len(own) <= 4 and (own["x"] - float(w["x"])).abs().max() < 1e-6
+        assert [own["y"].min(), own["y"].max()] == pytest.approx([w["low"] + 0.3 * (w["mean"] - w["low"]), w["high"] + 0.3 * (w["mean"] - w["high"])], abs=2e-6)
