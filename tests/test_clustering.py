@@ -348,3 +348,17 @@ def test_sections_that_lie_apart_are_merged_on_their_own(monkeypatch):
     got = kernel.agglomerate(x, 25, 4, 0.3)
     assert {frozenset(c.members.tolist()) for c in got.clusters} == {frozenset(np.flatnonzero(x[:, 0] == v).tolist()) for v in np.unique(x[:, 0])}
     assert len(sizes) == 25 and max(sizes) < 250
+
+
+@pytest.mark.parametrize("candidates", ["representatives", "all_points"])
+@pytest.mark.parametrize("k", [1, 3, 25, 60])
+def test_sections_change_no_merge(monkeypatch, k, candidates):
+    """Every merge, its distance, and all representatives are those of one loop over all; below 25 clusters, sections are merged with each other."""
+    x = np.concatenate([nations(400), np.round(nations(100), 1), [[500.0, 0.5], [24000.0, 900.0]]])
+    got = kernel.agglomerate(x, k, 4, 0.3, candidates=candidates)
+    assert len(kernel.apart(x)[0]) > 20
+    monkeypatch.setattr(kernel, "apart", lambda x: ([np.arange(len(x))], np.inf))
+    want = kernel.agglomerate(x, k, 4, 0.3, candidates=candidates)
+    assert got.merges == want.merges and len(got.clusters) == len(want.clusters) == k
+    for g, w in zip(got.clusters, want.clusters, strict=True):
+        assert set(g.members) == set(w.members) and g.center.tolist() == w.center.tolist() and g.reps.tolist() == w.reps.tolist()
