@@ -322,6 +322,41 @@ def test_representatives_of_repeated_suppliers(spark, repeated):
         assert [own["y"].min(), own["y"].max()] == pytest.approx([w["low"] + 0.3 * (w["mean"] - w["low"]), w["high"] + 0.3 * (w["mean"] - w["high"])], abs=2e-6)
 
 
+def merged_to_one(y, c=4, alpha=0.3):
+    """Representatives of points in a line, merged to one cluster from a table of all distances."""
+    members, own, moved = [[i] for i in range(len(y))], [[v] for v in y], np.repeat(y[:, None], c, axis=1)
+    table = np.abs(y[:, None] - y)
+    np.fill_diagonal(table, np.inf)
+    for _ in range(len(y) - 1):
+        u, v = divmod(int(table.argmin()), len(y))  # the smaller slots first
+        members[u] += members[v]
+        mean = float(np.mean(y[members[u]]))
+        pool = list(dict.fromkeys(own[u] + own[v]))
+        if len(pool) < c:
+            pool = list(dict.fromkeys(y[sorted(members[u])]))
+        chosen = [max(pool, key=lambda p: abs(p - mean))]  # noqa: B023
+        while len(chosen) < min(c, len(pool)):
+            chosen.append(max((p for p in pool if p not in chosen), key=lambda p: min(abs(p - q) for q in chosen)))
+        own[u], reps = chosen, [p + alpha * (mean - p) for p in chosen]
+        moved[u] = reps + reps[-1:] * (c - len(reps))
+        table[v] = table[:, v] = moved[v] = np.inf
+        row = np.abs(moved[:, :, None] - moved[u]).min(axis=(1, 2))
+        row[u] = np.inf
+        table[u] = table[:, u] = row
+    return reps
+
+
+@pytest.mark.parametrize("kind", ["large", "repeated"])
+def test_every_representative_over_5000_suppliers(spark, request, kind):
+    """All rows of the query, in their order, are those of a plain loop over each nation."""
+    at = request.getfixturevalue(kind)
+    got = queries.REGISTRY["representatives"](spark, at).toPandas().sort_values(["label", "rep_idx"])
+    points = by_sql(at, "SELECT s_nationkey AS nation, s_acctbal / 1e4 AS y FROM supplier ORDER BY s_suppkey")
+    want = [(label, i, nation * 1000.0, y) for label, nation in enumerate(points["nation"].unique()) for i, y in enumerate(merged_to_one(points["y"][points["nation"] == nation].to_numpy()))]
+    assert [tuple(r) for r in got[["label", "rep_idx", "x"]].to_numpy()] == [w[:3] for w in want]
+    assert np.abs(got["y"].to_numpy() - [w[3] for w in want]).max() < 1e-6
+
+
 def test_tight_groups_go_on_in_double_precision():
     """Where single precision can't tell distances apart, its bounds are given up, and the merges stay right."""
     rng = np.random.default_rng(31)
