@@ -7,12 +7,13 @@ exclusive-or and bit count. A pair of strips emits a spanning forest of its link
 links themselves, so a group of any size costs a row per member. A fingerprint travels
 once for each strip: that is the square root of the number of tasks, until strips are full.
 
-``verified_groups`` takes such links for candidates only. Those of the forest are held
-against the shingle sets of the two texts. Then the strips are compared again for the nearest
-link between any two components, and a last time for every link between components
-that are apart still, so that no link is lost and no group is written out as pairs. Parity
-sketches of the sets, a small one inside the comparison and a larger one for the pairs that it
-finds, rule most false candidates out before any set is made.
+``verified_groups`` holds texts against each other only where they can have the similarity. Shingles
+are put in one order, the rarest first. Of two texts with a Jaccard similarity of ``least`` or more, the first
+n - ceil(least * n) + 1 shingles of each have one in common. Most shingles are in one text only, so most texts
+have as many of their own and go no further; the others are joined to what shares such a shingle
+with them. Components of these are cut into chunks, a task takes two chunks and compares every
+pair by fingerprints and by whole shingle sets, and emits a spanning forest of the links. So no pair
+is ever a row, a group of any size costs a row per member and tile, and the rest is linear in the texts.
 
 Defined results: a null or empty text, or one of blanks only, has no words and
 the fingerprint zero, which links like any other; texts with fewer words than a
@@ -41,6 +42,10 @@ STRIP, LEAST_STRIP, BLOCK = 1 << 19, 256, 1 << 18
 #: For each byte value, its eight bits, lowest first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 SEEDS = (42, 43)
+#: Members of a chunk; chunks of a component until chunks are full; members of a full chunk; elements of a block of the comparison of sets.
+CHUNK, CHUNKS, FULL_CHUNK, SET_BLOCK = 64, 64, 1024, 1 << 20
+#: Most parts into which shingles are dealt.
+MOST_PARTS = 512
 #: Words of the small and of the large parity sketch: bit x is set if an odd number of the shingle hashes is x modulo its bits.
 SKETCH, LARGE_SKETCH = 4, 16
 #: Bytes of keys that are broadcast to find their texts; beyond, the join is shuffled.
@@ -60,9 +65,15 @@ def shingles(text: str | None, shingle: int = 3) -> list[bytes]:
     return [joined[i:j] for i, j in zip(starts, ends[k - 1 :], strict=False)]
 
 
+def hashes(pieces: list[bytes], seed: int = SEEDS[0]) -> np.ndarray:
+    """XXH64 of every piece."""
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(p, seed) for p in pieces), dtype="<u8", count=len(pieces))
+
+
 def shingle_set(text: str | None, shingle: int = 3) -> np.ndarray:
     """The distinct shingles of ``text`` as sorted 64-bit hashes."""
-    return np.array(sorted({xxhash.xxh64_intdigest(p, SEEDS[0]) for p in shingles(text, shingle)}), dtype="<u8")
+    return np.unique(hashes(shingles(text, shingle)))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -94,19 +105,16 @@ def nearest_of(groups: np.ndarray, apart: np.ndarray, a: np.ndarray, b: np.ndarr
     return order[np.r_[True, (g[1:] != g[:-1]).any(axis=1)]] if len(order) else order
 
 
+def majority(h: np.ndarray) -> int:
+    """The signed word whose bits are set in over half of all hashes; of none zero."""
+    ones = np.concatenate([np.bincount(x, minlength=256) @ BITS for x in h.view(np.uint8).reshape(-1, 8).T])
+    return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3, seeds: tuple[int, ...] = (42,)) -> list[int]:
     """A signed 64-bit word per seed: a bit is set if over half of all shingle hashes have it."""
     pieces = shingles(text, shingle)
-    if not pieces:
-        return [0] * len(seeds)
-    out = []
-    for seed in seeds:
-        digest = xxhash.xxh64_intdigest
-        h = np.fromiter((digest(p, seed) for p in pieces), dtype="<u8", count=len(pieces)).view(np.uint8).reshape(-1, 8)
-        ones = np.concatenate([np.bincount(h[:, j], minlength=256) @ BITS for j in range(8)])
-        bits = np.packbits((2 * ones > len(pieces)).astype(np.uint8), bitorder="little")
-        out.append(int(bits.view("<i8")[0]))
-    return out
+    return [majority(hashes(pieces, seed)) for seed in seeds]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,40 +287,164 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, id
     return marked.join(resolved, "f0").select(F.col("id").alias(id_col), "f0", "component_id")
 
 
-def plausible_pairs(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """(a, b, apart): those of ``pairs(a, b)`` whose sizes and large sketches in ``classes(k, n, q)`` allow the similarity, and how far apart they are by these."""
-    for c in "ab":
-        pairs = pairs.join(classes.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("q").alias(f"q{c}")), c)
-    odd = F.aggregate(F.zip_with("qa", "qb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    apart = F.greatest(odd.cast("long"), F.abs(F.col("na") - F.col("nb")))
-    near = pairs.select("a", "b", apart.alias("apart"), (F.col("na") + F.col("nb")).alias("both"))
-    return durable(near.filter(F.col("apart") * (1 + least) <= (1 - least) * F.col("both") + 1e-6).select("a", "b", "apart"), "plausible")
+def in_parts(values: np.ndarray, part: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For every part: its number, the owners that have values there, in order, how many each, and the places of these values."""
+    order = np.lexsort((owner, part))
+    part, owner = part[order], owner[order]
+    for at in np.split(np.arange(len(values)), np.flatnonzero(part[1:] != part[:-1]) + 1):
+        if len(at):
+            who, count = np.unique(owner[at], return_counts=True)
+            yield int(part[at[0]]), who, count, order[at]
+
+
+def slack(n: int, codes: int, least: float) -> int:
+    """How many of ``codes`` different codes of a set of ``n`` members may be shared with others before one of its first is."""
+    return codes - (n - ceil(least * n - 1e-9) + 1)
+
+
+#: Columns of the shingles of texts that are dealt to one part: keys of the texts, shingles of each, slack of each, the shingles.
+DEALT = ("ks", "counts", "slacks", "codes")
+DEALT_TYPES = ("<i8", "<u4", "<i4", "<u4")
+
+
+def gathered(batches: Iterator[pa.RecordBatch], columns: dict[str, str], by: str) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """For every value of ``by`` the arrays of all its rows, one after another."""
+    held: dict[int, list[list[bytes]]] = {}
+    for batch in batches:
+        binary = [batch.column(c).to_pylist() for c in columns]
+        for at, value in enumerate(batch.column(by).to_pylist()):
+            rows = held.setdefault(value, [[] for _ in columns])
+            for own, column in zip(rows, binary, strict=True):
+                own.append(column[at])
+    for value in list(held):
+        yield value, [np.frombuffer(b"".join(x), kind) for x, kind in zip(held.pop(value), columns.values(), strict=True)]
 
 
-def similar_pairs(plausible: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts in ``texts(k, id, text)`` have shingle sets of a Jaccard similarity of ``least`` or more."""
-    ends = plausible.select(F.col("a").alias("k")).unionByName(plausible.select(F.col("b").alias("k"))).distinct()
-    few = plausible.count() * 2 * 40 <= BROADCAST_BYTES
-    ends = ends.join(classes.select("k", "least"), "k")  # of equal texts the one of the smallest id
-    wanted = texts.join((F.broadcast(ends) if few else ends).withColumnRenamed("k", "end"), (F.col("k") == F.col("end")) & F.col("id").eqNullSafe(F.col("least"))).select("k", "text")
+def first_shared(dealt: DataFrame, parts: int) -> DataFrame:
+    """(t, k): of every text ``k`` those of its first shingles ``t`` that other texts have too; ``dealt(p, ks, counts, slacks, codes)``.
+
+    The order is by number of texts, then by code: what only one text has comes first, and is not written.
+    """
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, (ks, counts, slacks, codes) in gathered(batches, dict(zip(DEALT, DEALT_TYPES, strict=True)), "p"):
+            once = np.zeros(len(ks), bool)  # a text that is there repeatedly
+            once[np.unique(ks, return_index=True)[1]] = True
+            codes, ks, slacks, owner = codes[np.repeat(once, counts)], ks[once], slacks[once], np.repeat(np.arange(once.sum()), counts[once])
+            _, inverse, texts = np.unique(codes, return_inverse=True, return_counts=True)
+            texts = texts[inverse]
+            often = texts > 1
+            codes, owner, texts = codes[often], owner[often], np.minimum(texts[often], 65535)
+            rows = [(h, p, ks[who].tobytes(), n.astype("<u4").tobytes(), slacks[who].tobytes(), codes[at].tobytes(), texts[at].astype("<u2").tobytes()) for h, who, n, at in in_parts(codes, ks[owner] % parts, owner)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *(pa.binary(),) * 5), strict=True)], names=["h", "p", *DEALT, "texts"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with_part = (b.append_column("ps", pa.array([np.full(len(c.as_py()) // 4, p.as_py(), "<u4").tobytes() for p, c in zip(b.column("p"), b.column("codes"), strict=True)], pa.binary())) for b in batches)
+        columns = dict(zip(DEALT, DEALT_TYPES, strict=True)) | {"texts": "<u2", "ps": "<u4"}
+        for _, (ks, counts, slacks, codes, texts, ps) in gathered(with_part, columns, "h"):
+            keys, at, inverse = np.unique(ks, return_index=True, return_inverse=True)
+            owner = np.repeat(inverse, counts)
+            wanted = np.bincount(owner, minlength=len(keys)) - slacks[at]
+            some = wanted[owner] > 0
+            owner, texts, t = owner[some], texts[some], ps[some].astype(np.int64) << 32 | codes[some]
+            order = np.lexsort((t, texts, owner))
+            owner, t = owner[order], t[order]
+            rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            front = rank < wanted[owner]
+            if front.any():
+                yield pa.RecordBatch.from_arrays([pa.array(t[front]), pa.array(keys[owner[front]])], names=["t", "k"])
+
+    binary = ", ".join(f"{c} binary" for c in (*DEALT, "texts"))
+    back = dealt.repartition(parts, "p").mapInArrow(freeing(shared), f"h int, p int, {binary}")
+    return durable(back.repartition(parts, "h").mapInArrow(freeing(first), "t long, k long"), "first")
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many members each set on the left has in common with each on the right."""
+    members, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    sizes = [len(x) for x in (*left, *right)]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    on_left = row < len(left)
+    both = (np.bincount(place[on_left], minlength=len(members)) > 0) & (np.bincount(place[~on_left], minlength=len(members)) > 0)
+    column = (np.cumsum(both) - 1)[place]
+    row, column = row[both[place]], column[both[place]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    step = max(64, SET_BLOCK // len(sizes))
+    for at in range(0, int(both.sum()), step):
+        a, b = np.searchsorted(column, (at, at + step))
+        has = np.zeros((len(sizes), step), np.float32)
+        has[row[a:b], column[a:b] - at] = 1
+        out += (has[: len(left)] @ has[len(left) :].T).astype(np.int64)  # at most ``step`` each, so exact
+    return out
+
+
+def tile_of_sets(
+    left: tuple[np.ndarray, list[np.ndarray]], right: tuple[np.ndarray, list[np.ndarray]] | None, least: float, radius: int, first_radius: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (i, j) of the links between two chunks of (fingerprints, sets), or within one if right is None, then i < j."""
+    (lf, ls), (rf, rs) = left, right or left
+    bits = np.bitwise_count(lf[:, None, :] ^ rf[None, :, :])
+    near = (bits[:, :, 0] <= first_radius) & (bits.sum(axis=2, dtype=np.int64) <= radius)
+    if right is None:
+        near &= np.arange(len(lf))[:, None] < np.arange(len(lf))[None, :]
+    if not near.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    both = common(ls, rs)
+    union = np.array([len(x) for x in ls])[:, None] + np.array([len(x) for x in rs])[None, :] - both
+    return np.nonzero(near & (np.where(union > 0, both / np.maximum(union, 1), 1.0) >= least))
+
+
+def similar_links(candidates: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, least: float, radius: int, first_radius: int) -> DataFrame:
+    """(a, b): a spanning forest, tile by tile, of the links between the texts of each component ``candidates(node, root)``."""
+    names = [c for c in classes.columns if c.startswith("f")]
+    large = candidates.groupBy("root").agg(F.count("*").alias("m")).filter(F.col("m") > CHUNK)
+    chunks = F.greatest(F.least(F.ceil(F.col("m") / CHUNK), F.lit(CHUNKS)), F.ceil(F.col("m") / FULL_CHUNK)).cast("int")
+    large = durable(large.select("root", chunks.alias("c")), "large")
+    few = large.count() * 16 <= BROADCAST_BYTES
+    members = candidates.join(F.broadcast(large) if few else large, "root", "left").select(F.col("node").alias("k"), "root", F.coalesce("c", F.lit(1)).alias("c"))
+    members = durable(members.withColumn("i", F.pmod(F.xxhash64("k", "root"), "c").cast("int")).join(classes.select("k", "least", *names), "k"), "members")
+    few = members.count() * 64 <= BROADCAST_BYTES
+    ends = members.withColumnRenamed("k", "end")
+    wanted = texts.join(F.broadcast(ends) if few else ends, (F.col("k") == F.col("end")) & F.col("id").eqNullSafe(F.col("least")))  # of equal texts the one of the smallest id
+    kept = ["k", "root", "c", "i", *names]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # of the hashes 32 bits travel: of two sets of n members, n * n / 2**32 are taken for common by chance
-            got = pa.array([np.unique(shingle_set(t.as_py(), shingle).astype("<u4")).tobytes() for t in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), got], names=["k", "s"])
+            got = pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(len(kept))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], got], names=[*kept, "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, rows = None, []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            sides = [[r for r in rows if r[3] == side] for side in (False, True)]
+            if not sides[0] or tile[1] != tile[2] and not sides[1]:
+                return
+            left, right = ((np.array([r[5:-1] for r in x], np.int64).view(np.uint64), [np.frombuffer(r[-1], "<u8") for r in x]) if x else None for x in sides)
+            i, j = tile_of_sets(left, right, least, radius, first_radius)
+            keys = np.array([r[4] for x in sides for r in x], np.int64)
+            child, parent = forest(len(keys), [(i, j + len(sides[0]) if right else j)])
+            if len(child):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[child]), pa.array(keys[parent])], names=["a", "b"])
+
         for batch in batches:
-            sets = [[np.frombuffer(x.as_py(), "<u4") for x in batch.column(c)] for c in (2, 3)]
-            keep = pa.array([jaccard(a, b) >= least for a, b in zip(*sets, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    sets = durable(wanted.dropDuplicates(["k"]).mapInArrow(freeing(make), "k long, s binary"), "sets")
-    left, right = (sets.select(F.col("k").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-    ready = plausible.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    out = durable(ready.mapInArrow(freeing(compare), "a long, b long"), "similar")
-    release(sets)
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[:3] != tile:
+                    yield from links()
+                    tile, rows = r[:3], []
+                rows.append(r)
+        yield from links()
+
+    kinds = ", ".join(f"{c} {'int' if c in 'ci' else 'long'}" for c in kept)
+    sets = durable(wanted.select(*kept, "text").dropDuplicates(["k"]).mapInArrow(freeing(make), f"{kinds}, s binary"), "sets")
+    paired = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("j"))
+    paired = paired.select("root", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("right"), "k", *names, "s")
+    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = durable(paired.repartition(parts, "root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(freeing(compare), "a long, b long"), "similar")
+    release(large, members, sets)
     return out
 
 
@@ -328,59 +460,58 @@ def verified_groups(
 ) -> DataFrame:
     """(id, component_id): the smallest id that is reached by links of a Jaccard similarity of ``least`` or more.
 
-    Only pairs within ``radius`` bits of each other (and ``first_radius`` in the first word) are
-    held against each other, but each of these is, or lies in one component already.
+    Links are all pairs of that similarity within ``radius`` bits of each other, and ``first_radius`` in the first word.
     """
     ship(docs.sparkSession)
     names = [f"f{i}" for i in range(words)]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    held = ["n", *[f"p{i}" for i in range(SKETCH)]]
+    parts = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_PARTS)
+    first_radius = radius if first_radius is None else first_radius
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = []
+            marks, codes, slacks = [], [], []
             for t in batch.column(3):
-                members = shingle_set(t.as_py(), shingle)
-                got.append([*fingerprint(t.as_py(), shingle, SEEDS[:words]), len(members), *sketch(members).tolist(), *sketch(members, LARGE_SKETCH).tolist()])
-            got = np.array(got, dtype=np.int64).reshape(-1, words + len(held) + LARGE_SKETCH)
-            large = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * LARGE_SKETCH), pa.array(got[:, -LARGE_SKETCH:].ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(got[:, i]) for i in range(words + len(held))), large], names=["k", "k2", "id", *names, *held, "q"])
+                pieces = shingles(t.as_py(), shingle)
+                h = hashes(pieces)
+                marks.append([majority(h), *(majority(hashes(pieces, seed)) for seed in SEEDS[1:words])])
+                members = np.unique(h) if len(h) else np.zeros(1, np.uint64)  # what has no shingles shares one
+                # a code is the part and the upper half of a hash
+                codes.append(np.unique(members % np.uint64(parts) << np.uint64(32) | members >> np.uint64(32)))
+                slacks.append(slack(len(members), len(codes[-1]), least))
+            marks = np.array(marks, np.int64).reshape(-1, words)
+            n = len(marks)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(marks[:, i]) for i in range(words)), pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in DEALT)], names=["k", "k2", "id", *names, "p", *DEALT])
+            if not n:
+                continue
+            keys, slacks, owner, codes = batch.column(0).to_numpy(), np.array(slacks, "<i4"), np.repeat(np.arange(n), [len(x) for x in codes]), np.concatenate(codes)
+            dealt = [(p, keys[who].astype("<i8").tobytes(), count.astype("<u4").tobytes(), slacks[who].tobytes(), codes[at].astype("<u4").tobytes()) for p, who, count, at in in_parts(codes, codes >> np.uint64(32), owner)]
+            m = len(dealt)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(m, f.type) for f in batch.schema][:3] + [pa.nulls(m, pa.int64())] * words + [pa.array(x, kind) for x, kind in zip(zip(*dealt, strict=True), (pa.int32(), *(pa.binary(),) * 4), strict=True)],
+                names=["k", "k2", "id", *names, "p", *DEALT],
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
     for seed in range(42, 50):
         # a class is a text, known by its hash; where two texts share that, another seed is taken
         texts = rows.select(F.xxhash64("text", F.lit(seed)).alias("k"), F.xxhash64("text", F.lit(-seed)).alias("k2"), "id", "text")
-        marked = durable(texts.mapInArrow(freeing(make), f"k long, k2 long, id {kind}, " + ", ".join(f"{x} long" for x in (*names, *held)) + ", q array<long>"), "fingerprints")
-        classes = marked.groupBy("k").agg(F.min("id").alias("least"), (F.min("k2") == F.max("k2")).alias("one"), *[F.first(c).alias(c) for c in (*names, *held, "q")])
+        made = durable(texts.mapInArrow(freeing(make), f"k long, k2 long, id {kind}, " + ", ".join(f"{x} long" for x in names) + ", p int, " + ", ".join(f"{c} binary" for c in DEALT)), "fingerprints")
+        marked = made.filter("p is null").select("k", "k2", "id", *names)
+        classes = marked.groupBy("k").agg(F.min("id").alias("least"), (F.min("k2") == F.max("k2")).alias("one"), *[F.first(c).alias(c) for c in names])
         classes = durable(classes, "classes")
         if classes.filter("not one").isEmpty():
             break
-        release(marked, classes)
-    marks = classes.select("k", *names, *held)
-    candidates = plausible_pairs(spanning_links(marks, radius, first_radius, least=least), classes, least)
-    sure = similar_pairs(candidates, classes, texts, shingle, least)
-
-    def settle(*links: DataFrame) -> DataFrame:
-        """(k, g): the component of every text by the links known so far."""
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        return durable(classes.select("k").join(connected_components(every).withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("root", "k").alias("g")), "settled")
-
-    # then the nearest pair between any two components: where it holds, the others need no look
-    settled = settle(sure)
-    near = plausible_pairs(spanning_links(marks.join(settled, "k"), radius, first_radius, apart="g", least=least, nearest=True), classes, least)
-    of = lambda c: settled.select(F.col("k").alias(c), F.col("g").alias(f"g{c}"))
-    between = near.join(of("a"), "a").join(of("b"), "b").groupBy(F.least("ga", "gb").alias("g"), F.greatest("ga", "gb").alias("h"))
-    near = durable(between.agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b"), "nearest")
-    first = similar_pairs(near, classes, texts, shingle, least)
-    # and every pair between those that are apart still
-    joined = settle(sure, first)
-    rest = plausible_pairs(spanning_links(marks.join(joined, "k"), radius, first_radius, apart="g", least=least), classes, least)
-    found = first.unionByName(similar_pairs(rest, classes, texts, shingle, least))
-    roots = connected_components(sure.unionByName(found)).withColumnRenamed("node", "k")
+        release(made, classes)
+    first = first_shared(made.filter("p is not null").select("p", *DEALT), parts)
+    # minima are written before they are joined, as in ``connected_components``
+    heads = durable(first.groupBy("t").agg(F.min("k").alias("m"), F.count("*").alias("n")).filter("n > 1").select("t", "m"), "heads")
+    candidates = durable(connected_components(first.join(heads, "t").select(F.col("k").alias("a"), F.col("m").alias("b"))), "candidates")
+    release(first, heads)
+    links = similar_links(candidates, classes, texts, shingle, least, radius, first_radius)
+    roots = connected_components(links).withColumnRenamed("node", "k")
     linked = classes.select("k", "least").join(roots, "k")
     component = linked.select("k", "root").join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("k", "component")
     resolved = durable(classes.join(component, "k", "left").select("k", F.coalesce("component", "least").alias("component_id")), "resolved")
-    release(classes)
+    release(classes, candidates, links)
     return marked.join(resolved, "k").select(F.col("id").alias(id_col), "component_id")

@@ -176,3 +176,85 @@ def test_the_nearest_link_between_groups():
     apart, a, b = np.array([5, 3, 9, 3, 9]), np.array([10, 12, 7, 11, 7]), np.array([1, 1, 4, 9, 3])
     assert sorted(simhash.nearest_of(groups, apart, a, b)) == [3, 4]
     assert len(simhash.nearest_of(groups[:0], apart[:0], a[:0], b[:0])) == 0
+
+
+def brute_jaccard(texts, shingle, least):
+    sets = [{*simhash.shingles(t, shingle)} for t in texts]
+    labels = np.arange(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            if not (union := sets[i] | sets[j]) or len(sets[i] & sets[j]) / len(union) >= least:
+                labels = simhash.merge_labels(labels, np.array([i]), np.array([j]))
+    return dict(enumerate(labels.tolist()))
+
+
+def test_verified_groups_against_brute_force(spark, monkeypatch):
+    """Chains, stars and chance over several chunks and blocks, with a line that many texts share, texts without words and repeated texts."""
+    monkeypatch.setattr(simhash, "CHUNK", 5)
+    monkeypatch.setattr(simhash, "SET_BLOCK", 1)
+    rng = random.Random(8)
+    line = [f"line{i}" for i in range(12)]
+    texts = ["", None, " \n", "one", "One", "one two"]
+    for n in (3, 5, 8, 40, 120):
+        for _ in range(3):
+            base = [f"w{rng.randrange(5000)}" for _ in range(n)] + (line if rng.random() < 0.5 else [])
+            for _ in range(8):
+                texts.append(" ".join(mutated(rng, base, rng.randint(0, max(1, n // 25)))))
+                if rng.random() < 0.3:
+                    base = texts[-1].split()
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.verified_groups(docs, 5, 0.8, 128, first_radius=64).collect()}
+    want = brute_jaccard(texts, 5, 0.8)
+    assert got == want and 30 < len({*want.values()}) < len(texts) - 30
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Most rows of the tables that ``durable`` has written, by tag."""
+    rows, real = {}, simhash.durable
+
+    def counted(df, tag):
+        out = real(df, tag)
+        rows[tag] = max(rows.get(tag, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "durable", counted)
+    return rows
+
+
+def test_a_group_that_is_not_alike_is_never_written_as_pairs(spark, written):
+    """60 long texts of similarity 0.75, each pair of which must be compared: no table has a row for each pair."""
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(5000)}" for _ in range(4000)]
+    texts = []
+    for i in range(60):
+        own = list(base)
+        for c in rng.sample(range(4000), 57):
+            own[c] = f"own{i}x{c}"
+        texts.append((i, " ".join(own)))
+    got = simhash.verified_groups(spark.createDataFrame(texts, "doc_id long, text string"), 5, 0.8, 128, first_radius=64)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: i for i in range(60)}
+    assert written["sets"] == 60
+    assert max(n for tag, n in written.items() if tag not in ("first", "heads")) < 6 * 60  # these have shingles, at most so many as the texts
+
+
+def test_verified_groups_compare_no_text_with_all(spark, monkeypatch, written):
+    def all_with_all(*_, **__):
+        raise AssertionError("all fingerprints are compared with all")
+
+    monkeypatch.setattr(simhash, "spanning_links", all_with_all)
+    rng = random.Random(11)
+    line = " ".join(f"line{i}" for i in range(12))
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(100)) + " " + line for _ in range(300)]
+    texts.append("changed " + texts[7])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = simhash.verified_groups(docs, 5, 0.8, 34, first_radius=20)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: i if i < 300 else 7 for i in range(301)}
+    assert written["sets"] == 2
+
+
+def test_common_members_are_counted():
+    rng = np.random.default_rng(6)
+    left, right = ([np.unique(rng.integers(0, 300, n, dtype=np.uint64)) for n in sizes] for sizes in ((0, 5, 90), (1, 400, 0, 60)))
+    assert simhash.common(left, right).tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
