@@ -11,7 +11,7 @@ once for each strip: that is the square root of the number of tasks, until strip
 are put in one order, the rarest first. Of two texts with a Jaccard similarity of ``least`` or more, the first
 n - ceil(least * n) + 1 shingles of each have one in common. Most shingles are in one text only, so most texts
 have as many of their own and go no further; the others are joined to what shares such a shingle
-with them. Components of these are cut into chunks, a task takes two chunks and compares every
+with them. Fingerprints and whole sets are made of these alone. Their components are cut into chunks, a task takes two chunks and compares every
 pair by fingerprints and by whole shingle sets, and emits a spanning forest of the links. So no pair
 is ever a row, a group of any size costs a row per member and tile, and the rest is linear in the texts.
 
@@ -42,6 +42,8 @@ STRIP, LEAST_STRIP, BLOCK = 1 << 19, 256, 1 << 18
 #: For each byte value, its eight bits, lowest first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 SEEDS = (42, 43)
+#: An odd factor; a rolled hash is a polynomial in it of the words' hashes.
+ROLL = np.uint64(0x9E3779B97F4A7C15)
 #: Members of a chunk; chunks of a component until chunks are full; members of a full chunk; elements of a block of the comparison of sets.
 CHUNK, CHUNKS, FULL_CHUNK, SET_BLOCK = 64, 64, 1024, 1 << 20
 #: Most parts into which shingles are dealt.
@@ -76,6 +78,16 @@ def shingle_set(text: str | None, shingle: int = 3) -> np.ndarray:
     return np.unique(hashes(shingles(text, shingle)))
 
 
+def rolled_set(text: str | None, shingle: int = 3) -> np.ndarray:
+    """As ``shingle_set`` by other hashes, each made of those of its words, so that no shingle is cut out."""
+    h = hashes((text or "").encode().lower().split())
+    n = len(h) - min(shingle, len(h)) + 1 if len(h) else 0
+    out = np.zeros(n, np.uint64)
+    for at in range(len(h) - n + 1 if n else 0):
+        out = out * ROLL + h[at : at + n]
+    return np.unique(out)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Share of common members of two sorted sets; of two empty ones 1."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -397,24 +409,30 @@ def tile_of_sets(
     return np.nonzero(near & (np.where(union > 0, both / np.maximum(union, 1), 1.0) >= least))
 
 
-def similar_links(candidates: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, least: float, radius: int, first_radius: int) -> DataFrame:
+def similar_links(candidates: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, least: float, radius: int, first_radius: int, words: int) -> DataFrame:
     """(a, b): a spanning forest, tile by tile, of the links between the texts of each component ``candidates(node, root)``."""
-    names = [c for c in classes.columns if c.startswith("f")]
+    names = [f"f{i}" for i in range(words)]
     large = candidates.groupBy("root").agg(F.count("*").alias("m")).filter(F.col("m") > CHUNK)
     chunks = F.greatest(F.least(F.ceil(F.col("m") / CHUNK), F.lit(CHUNKS)), F.ceil(F.col("m") / FULL_CHUNK)).cast("int")
     large = durable(large.select("root", chunks.alias("c")), "large")
     few = large.count() * 16 <= BROADCAST_BYTES
     members = candidates.join(F.broadcast(large) if few else large, "root", "left").select(F.col("node").alias("k"), "root", F.coalesce("c", F.lit(1)).alias("c"))
-    members = durable(members.withColumn("i", F.pmod(F.xxhash64("k", "root"), "c").cast("int")).join(classes.select("k", "least", *names), "k"), "members")
+    members = durable(members.withColumn("i", F.pmod(F.xxhash64("k", "root"), "c").cast("int")).join(classes.select("k", "least"), "k"), "members")
     few = members.count() * 64 <= BROADCAST_BYTES
     ends = members.withColumnRenamed("k", "end")
     wanted = texts.join(F.broadcast(ends) if few else ends, (F.col("k") == F.col("end")) & F.col("id").eqNullSafe(F.col("least")))  # of equal texts the one of the smallest id
-    kept = ["k", "root", "c", "i", *names]
+    kept = ["k", "root", "c", "i"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(len(kept))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], got], names=[*kept, "s"])
+            marks, sets = [], []
+            for t in batch.column(len(kept)):
+                pieces = shingles(t.as_py(), shingle)
+                h = hashes(pieces)
+                marks.append([majority(h), *(majority(hashes(pieces, seed)) for seed in SEEDS[1:words])])
+                sets.append(np.unique(h).tobytes())
+            marks = np.array(marks, np.int64).reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(marks[:, i]) for i in range(words)), pa.array(sets, pa.binary())], names=[*kept, *names, "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, rows = None, []
@@ -438,7 +456,7 @@ def similar_links(candidates: DataFrame, classes: DataFrame, texts: DataFrame, s
                 rows.append(r)
         yield from links()
 
-    kinds = ", ".join(f"{c} {'int' if c in 'ci' else 'long'}" for c in kept)
+    kinds = ", ".join(f"{c} {'int' if c in 'ci' else 'long'}" for c in (*kept, *names))
     sets = durable(wanted.select(*kept, "text").dropDuplicates(["k"]).mapInArrow(freeing(make), f"{kinds}, s binary"), "sets")
     paired = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("j"))
     paired = paired.select("root", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("right"), "k", *names, "s")
@@ -463,52 +481,40 @@ def verified_groups(
     Links are all pairs of that similarity within ``radius`` bits of each other, and ``first_radius`` in the first word.
     """
     ship(docs.sparkSession)
-    names = [f"f{i}" for i in range(words)]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     parts = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_PARTS)
     first_radius = radius if first_radius is None else first_radius
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, codes, slacks = [], [], []
-            for t in batch.column(3):
-                pieces = shingles(t.as_py(), shingle)
-                h = hashes(pieces)
-                marks.append([majority(h), *(majority(hashes(pieces, seed)) for seed in SEEDS[1:words])])
-                members = np.unique(h) if len(h) else np.zeros(1, np.uint64)  # what has no shingles shares one
+            codes, slacks = [], []
+            for t in batch.column(1):
+                members = rolled_set(t.as_py(), shingle)
+                members = members if len(members) else np.zeros(1, np.uint64)  # what has no shingles shares one
                 # a code is the part and the upper half of a hash
                 codes.append(np.unique(members % np.uint64(parts) << np.uint64(32) | members >> np.uint64(32)))
                 slacks.append(slack(len(members), len(codes[-1]), least))
-            marks = np.array(marks, np.int64).reshape(-1, words)
-            n = len(marks)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(marks[:, i]) for i in range(words)), pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in DEALT)], names=["k", "k2", "id", *names, "p", *DEALT])
-            if not n:
+            if not codes:
                 continue
-            keys, slacks, owner, codes = batch.column(0).to_numpy(), np.array(slacks, "<i4"), np.repeat(np.arange(n), [len(x) for x in codes]), np.concatenate(codes)
+            keys, slacks, owner, codes = batch.column(0).to_numpy(), np.array(slacks, "<i4"), np.repeat(np.arange(len(codes)), [len(x) for x in codes]), np.concatenate(codes)
             dealt = [(p, keys[who].astype("<i8").tobytes(), count.astype("<u4").tobytes(), slacks[who].tobytes(), codes[at].astype("<u4").tobytes()) for p, who, count, at in in_parts(codes, codes >> np.uint64(32), owner)]
-            m = len(dealt)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, f.type) for f in batch.schema][:3] + [pa.nulls(m, pa.int64())] * words + [pa.array(x, kind) for x, kind in zip(zip(*dealt, strict=True), (pa.int32(), *(pa.binary(),) * 4), strict=True)],
-                names=["k", "k2", "id", *names, "p", *DEALT],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*dealt, strict=True), (pa.int32(), *(pa.binary(),) * 4), strict=True)], names=["p", *DEALT])
 
-    kind = docs.schema[id_col].dataType.simpleString()
     for seed in range(42, 50):
         # a class is a text, known by its hash; where two texts share that, another seed is taken
         texts = rows.select(F.xxhash64("text", F.lit(seed)).alias("k"), F.xxhash64("text", F.lit(-seed)).alias("k2"), "id", "text")
-        made = durable(texts.mapInArrow(freeing(make), f"k long, k2 long, id {kind}, " + ", ".join(f"{x} long" for x in names) + ", p int, " + ", ".join(f"{c} binary" for c in DEALT)), "fingerprints")
-        marked = made.filter("p is null").select("k", "k2", "id", *names)
-        classes = marked.groupBy("k").agg(F.min("id").alias("least"), (F.min("k2") == F.max("k2")).alias("one"), *[F.first(c).alias(c) for c in names])
-        classes = durable(classes, "classes")
+        marked = durable(texts.select("k", "k2", "id"), "marked")
+        classes = durable(marked.groupBy("k").agg(F.min("id").alias("least"), (F.min("k2") == F.max("k2")).alias("one")), "classes")
         if classes.filter("not one").isEmpty():
             break
-        release(made, classes)
-    first = first_shared(made.filter("p is not null").select("p", *DEALT), parts)
+        release(marked, classes)
+    # the shingles of all texts are shuffled, never written
+    first = first_shared(texts.select("k", "text").mapInArrow(freeing(deal), "p int, " + ", ".join(f"{c} binary" for c in DEALT)), parts)
     # minima are written before they are joined, as in ``connected_components``
     heads = durable(first.groupBy("t").agg(F.min("k").alias("m"), F.count("*").alias("n")).filter("n > 1").select("t", "m"), "heads")
     candidates = durable(connected_components(first.join(heads, "t").select(F.col("k").alias("a"), F.col("m").alias("b"))), "candidates")
     release(first, heads)
-    links = similar_links(candidates, classes, texts, shingle, least, radius, first_radius)
+    links = similar_links(candidates, classes, texts, shingle, least, radius, first_radius, words)
     roots = connected_components(links).withColumnRenamed("node", "k")
     linked = classes.select("k", "least").join(roots, "k")
     component = linked.select("k", "root").join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("k", "component")

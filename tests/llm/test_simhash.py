@@ -1,6 +1,7 @@
 """Fingerprints by definition, groups by brute force."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -239,6 +240,37 @@ def test_a_group_that_is_not_alike_is_never_written_as_pairs(spark, written):
     assert max(n for tag, n in written.items() if tag not in ("first", "heads")) < 6 * 60  # these have shingles, at most so many as the texts
 
 
+def test_shingles_of_texts_that_share_none_are_never_written(spark, monkeypatch):
+    """Of texts that are like no other, keys alone are written: neither their shingles nor fingerprints."""
+    n_bytes, columns, real = {}, {}, simhash.durable
+
+    def measured(df, tag):
+        out = real(df, tag)
+        n_bytes[tag] = sum(p.stat().st_size for p in Path(out.shoal_path.removeprefix("file://")).rglob("*.parquet"))
+        columns[tag] = out.columns
+        return out
+
+    monkeypatch.setattr(simhash, "durable", measured)
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(300)]
+    texts.append("changed " + texts[7])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(4)
+    got = simhash.verified_groups(docs, 5, 0.8, 34, first_radius=20)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: i if i < 300 else 7 for i in range(301)}
+    assert sum(n_bytes.values()) < 300 * 400  # shingles alone take four bytes each
+    assert [tag for tag, names in columns.items() if "f0" in names] == ["sets"]
+
+
+@pytest.mark.parametrize("text", ["", None, " \n", "a", "A b", "a b c d", "a b c d  e\x0bf", "x " * 300, "a b c d e a b c d e a b c d e", "É é A ab a b"])
+def test_rolled_hashes_tell_the_same_shingles_apart(text):
+    others = ["a b c d e f", "A b c d", "ab c d e f", "x x x x x y", "a  b"]
+    for other in [text, *others]:
+        plain, rolled = ([make(t, 5) for t in (text, other)] for make in (simhash.shingle_set, simhash.rolled_set))
+        assert [len(x) for x in plain] == [len(x) for x in rolled]
+        assert len(np.intersect1d(*plain)) == len(np.intersect1d(*rolled))
+        assert all((x[1:] > x[:-1]).all() for x in rolled)
+
+
 def test_verified_groups_compare_no_text_with_all(spark, monkeypatch, written):
     def all_with_all(*_, **__):
         raise AssertionError("all fingerprints are compared with all")
